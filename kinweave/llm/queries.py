@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .format_duplicates import format_duplicates
+from .group_pairs import group_pairs
+from .lookalikes import visually_identical
+from .mixing import mix_sources
+from .tokens import encode_texts
 
 RECORD_FIELDS = ["dob", "postcode", "surname", "sex", "forename", "middlename"]
 
@@ -23,7 +27,27 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("member_id = keep_id").select("keep_id", "n_copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_pairs(table(spark, sf_dir, "matchkey_join"), "l_id", "r_id")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visually_identical(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p7_ids, p8_mix, p8_shares, p9_found)}
 
 _CLEAN = {k: f"coalesce(lower(regexp_replace({k}, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '')" for k in RECORD_FIELDS}
 _CANONICAL = f"""concat_ws(chr(1), {_CLEAN["dob"]}, {_CLEAN["postcode"]}, {_CLEAN["surname"]}, {_CLEAN["sex"]},
@@ -31,5 +55,15 @@ _CANONICAL = f"""concat_ws(chr(1), {_CLEAN["dob"]}, {_CLEAN["postcode"]}, {_CLEA
 
 SQL: dict[str, str] = {
     "p1_found": f"SELECT keep_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY {_CANONICAL}) AS keep_id FROM df) WHERE id <> keep_id",
+    "p5_found": """
+        WITH RECURSIVE links AS (SELECT l_id AS a, r_id AS b FROM matchkey_join WHERE l_id <> r_id UNION SELECT r_id, l_id FROM matchkey_join WHERE l_id <> r_id),
+        ids AS (SELECT l_id AS id FROM matchkey_join WHERE l_id IS NOT NULL UNION SELECT r_id FROM matchkey_join WHERE r_id IS NOT NULL),
+        reached(id, least) USING KEY (id) AS (
+            SELECT id, id FROM ids
+            UNION
+            SELECT links.b, min(reached.least) FROM reached JOIN links ON links.a = reached.id JOIN recurring.reached AS own ON own.id = links.b
+            GROUP BY links.b, own.least HAVING min(reached.least) < own.least
+        )
+        SELECT least AS group_id, id AS record_id FROM reached""",
     "p1_groups": f"SELECT min(id) AS keep_id, count(*) AS n_copies FROM df GROUP BY {_CANONICAL}",
 }
