@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import parallelism, ship
+from ..runtime import discard, materialise, parallelism, ship
 
 SEPARATOR = "\u0001"
 FIRST_DEPTH = 8
@@ -84,6 +84,7 @@ def radix_plan(keyed: DataFrame, rows_per_bucket: int | None = None) -> tuple[li
     while True:
         part = keyed if over is None else keyed.where(F.substring("key", 1, done).isin(over))
         counts = part.groupBy(F.substring("key", 1, depth).alias("p"), (F.octet_length("key") <= depth).alias("whole")).count()
+        counts = materialise(counts)
         lengths = F.sequence(F.lit(done + 1), F.lit(depth)) if over is not None else F.sequence(F.lit(0), F.lit(depth))
         rolled = (
             counts.select("p", "whole", "count", F.explode(lengths).alias("d"))
@@ -104,6 +105,7 @@ def radix_plan(keyed: DataFrame, rows_per_bucket: int | None = None) -> tuple[li
             if above:
                 kids = rolled.where((F.col("d") > 0)).where(F.expr("substring(p, 1, d - 1)").isin([bytearray(p) for p in above]))
                 bounds += [bytes(r.p) for r in kids.select("p").toLocalIterator()]
+        discard(counts)
         if not deepest:
             break
         over, done, depth = [bytearray(p) for p in deepest], depth, depth * 2
