@@ -12,6 +12,7 @@ from .format_duplicates import format_duplicates
 from .group_pairs import group_pairs
 from .lookalikes import visually_identical
 from .mixing import mix_sources
+from .name_variants import name_variants
 from .tokens import encode_texts
 
 RECORD_FIELDS = ["dob", "postcode", "surname", "sex", "forename", "middlename"]
@@ -27,6 +28,10 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("member_id = keep_id").select("keep_id", "n_copies")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants(table(spark, sf_dir, "df"), table(spark, sf_dir, "nicknames"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(table(spark, sf_dir, "matchkey_join"), "l_id", "r_id")
 
@@ -47,7 +52,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visually_identical(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p7_ids, p8_mix, p8_shares, p9_found)}
 
 _CLEAN = {k: f"coalesce(lower(regexp_replace({k}, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '')" for k in RECORD_FIELDS}
 _CANONICAL = f"""concat_ws(chr(1), {_CLEAN["dob"]}, {_CLEAN["postcode"]}, {_CLEAN["surname"]}, {_CLEAN["sex"]},
