@@ -13,6 +13,7 @@ from .group_pairs import group_pairs
 from .lookalikes import visually_identical
 from .mixing import mix_sources
 from .name_variants import name_variants
+from .source_linkage import MATCH, Source, link_sources
 from .tokens import encode_texts
 
 RECORD_FIELDS = ["dob", "postcode", "surname", "sex", "forename", "middlename"]
@@ -36,6 +37,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(table(spark, sf_dir, "matchkey_join"), "l_id", "r_id")
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_sources(Source(table(spark, sf_dir, "df_l"), "l_id"), Source(table(spark, sf_dir, "df_r"), "r_id"), table(spark, sf_dir, "nicknames"))[0]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).where(F.col("confidence") >= MATCH).select("l_id", "r_id")
+
+
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -52,7 +65,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visually_identical(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p6_confidence, p7_ids, p8_mix, p8_shares, p9_found)}
 
 _CLEAN = {k: f"coalesce(lower(regexp_replace({k}, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '')" for k in RECORD_FIELDS}
 _CANONICAL = f"""concat_ws(chr(1), {_CLEAN["dob"]}, {_CLEAN["postcode"]}, {_CLEAN["surname"]}, {_CLEAN["sex"]},
