@@ -55,7 +55,7 @@ def limit_hyphens(c: Column, limit: int) -> Column:
 
 def clean_hyphens(c: Column) -> Column:
     """No spaces beside hyphens, no hyphens at either end."""
-    return F.regexp_replace(F.regexp_replace(c, " ?- ?", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(c, " ?- ?", "-"), r"^-+|-+\z", "")
 
 
 def join_single_letters(c: Column, terminals: bool = False) -> Column:
@@ -95,7 +95,7 @@ def join_text(columns: list[Column], sep: str = " ") -> Column:
     if not sep:
         return made
     s, new = quoted(sep), sep.replace("\\", "\\\\").replace("$", "\\$")
-    clean = F.regexp_replace(F.regexp_replace(made, f"(?:{s})+", new), f"^(?:{s})|(?:{s})$", "")
+    clean = F.regexp_replace(F.regexp_replace(made, f"(?:{s})+", new), rf"^(?:{s})|(?:{s})\z", "")
     return F.nullif(clean, F.lit(""))
 
 

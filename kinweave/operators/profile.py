@@ -38,7 +38,7 @@ def describe_metrics(df: DataFrame) -> DataFrame:
 
 def _digits(c: Column) -> tuple[Column, Column]:
     """Characters before the point, a minus sign counted, and digits after it, trailing zeros not counted but at least one."""
-    plain = F.format_number(c, "0.##############################")
+    plain = F.call_function("format_number", c, F.lit("0.##############################"))
     whole = F.substring_index(plain, ".", 1)
     rest = F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise(F.lit(""))
     return F.length(whole), F.greatest(F.length(F.rtrim(F.lit("0"), rest)), F.lit(1))

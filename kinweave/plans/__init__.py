@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import general  # noqa: F401
+    from . import general, reference  # noqa: F401
 
 
 def entry_queries() -> dict[str, Query]:

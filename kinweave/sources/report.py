@@ -34,7 +34,7 @@ def _rgb(colour: str) -> tuple[int, int, int]:
     return int(c[0:2], 16), int(c[2:4], 16), int(c[4:6], 16)
 
 
-def style_colour_gradient(value: float, low: float, high: float, prop: str = "background-color", low_colour: str = "#FF0000", high_colour: str = "#00FF00", error: str = "#000000") -> str:
+def style_colour_gradient(value: float, low: float, high: float, prop: str = "background-color", low_colour: str = "#FFFFFF", high_colour: str = "#FF0000", error: str = "#000000") -> str:
     """The colour as far between two colours as the value is between two bounds; ``error`` outside of them."""
     try:
         part = (value - low) / (high - low)
@@ -42,7 +42,7 @@ def style_colour_gradient(value: float, low: float, high: float, prop: str = "ba
             raise ValueError
         colour = "#" + "".join(f"{int(a + (b - a) * part):02X}" for a, b in zip(_rgb(low_colour), _rgb(high_colour)))
     except (TypeError, ValueError, ZeroDivisionError):
-        colour = error
+        colour = "#" + error.lstrip("#")
     return f"{prop} : {colour};"
 
 
