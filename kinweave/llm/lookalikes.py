@@ -121,40 +121,55 @@ def representatives(classes: Classes, counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+def _automaton(words: dict[str, object]):
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for word, value in words.items():
+        made.add_word(word, value)
+    made.make_automaton()
+    return made
+
+
 def _counter(members: set[str]):
-    """Occurrences of every member in a partition: code points by a counter, strings by an automaton, overlaps included."""
+    """Occurrences of code points and of member strings in a partition: the strings by an automaton, overlaps included."""
+    strings = [x for x in members if len(x) > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        strings = ahocorasick.Automaton()
-        for x in members:
-            if len(x) > 1:
-                strings.add_word(x, x)
-        strings.make_automaton()
         seen: Counter[str] = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(t)
-                seen.update(x for _, x in strings.iter(t))
-        found = [(x, n) for x, n in seen.items() if x in members]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["member", "n"])
+            texts = b.column(0).to_pylist()
+            here: Counter[str] = Counter()
+            for t in texts:
+                here.update(t)
+            if words := {x: x for x in strings if all(c in here for c in x)}:  # a small automaton is a fast one
+                find = _automaton(words)
+                for t in texts:
+                    here.update([x for _, x in find.iter(t)])
+            seen.update(here)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["member", "n"])
 
     return run
 
 
+def possible_rules(rules: dict[str, str], counts: dict[str, int]) -> dict[str, str]:
+    """The rules that can fit: those made of code points that the corpus has or that a rule makes."""
+    alphabet = {c for c in counts if len(c) == 1}
+    while True:
+        kept = {a: b for a, b in rules.items() if all(c in alphabet for c in a)}
+        more = alphabet | {c for b in kept.values() for c in b}
+        if more == alphabet:
+            return kept
+        alphabet = more
+
+
 class Rewriter:
     """Greedy rewriting with one automaton over all patterns; what it makes may match again with what follows, so a text is
     rewritten until it stays (a letter, an invisible character and an accent are such a case)."""
 
     def __init__(self, rules: dict[str, str]) -> None:
-        import ahocorasick
-
         self.ascii_stays = not any(a.isascii() for a in rules)
-        self.automaton = ahocorasick.Automaton()
-        for a, b in rules.items():
-            self.automaton.add_word(a, (len(a), b))
-        self.automaton.make_automaton()
+        self.automaton = _automaton({a: (len(a), b) for a, b in rules.items()}) if rules else None
 
     def _once(self, text: str) -> str:
         out, at = [], 0
@@ -164,8 +179,8 @@ class Rewriter:
         return "".join(out) + text[at:] if out else text
 
     def __call__(self, text: str) -> str:
-        if self.ascii_stays and text.isascii():
-            return text
+        if self.automaton is None or self.ascii_stays and text.isascii():
+            return unicodedata.normalize("NFC", text)
         new = self._once(unicodedata.normalize("NFC", text))
         while new != text:
             text, new = new, self._once(new)
@@ -186,7 +201,7 @@ def _rewrite(rules: dict[str, str], text: str, out: str):
 
 def one_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
     """``df`` with the column ``out``: its texts in the corpus' one form. Two scans (frequencies, then rewriting), no shuffle
-    of texts; the frequencies are one row for each class member, of which there are at most some ten thousand.
+    of texts; the frequencies are one row for each code point or class member, so at most as many as Unicode has.
 
     A null text has a null form, an empty one an empty form; texts of any length are rewritten whole; an existing column
     ``out`` is replaced; an empty table keeps its columns.
@@ -197,8 +212,8 @@ def one_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
     known = {x for m in classes.members().values() for x in m}
     seen = df.select(text).where(F.col(text).isNotNull()).mapInArrow(_counter(known), "member string, n long")
     counts = {r.member: r.n for r in seen.groupBy("member").agg(F.sum("n").alias("n")).collect()}
-    present = representatives(classes, counts)
-    return df.mapInArrow(_rewrite(present, text, out), df.select("*", F.lit(None).cast("string").alias(out)).schema)
+    rules = possible_rules(representatives(classes, counts), counts)
+    return df.mapInArrow(_rewrite(rules, text, out), df.select("*", F.lit(None).cast("string").alias(out)).schema)
 
 
 def visually_identical(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
