@@ -105,7 +105,7 @@ def metaphone_of(text: str) -> str:
 
 def _codes(names: pd.Series) -> pd.Series:
     known = {n: metaphone_of(n) for n in names.dropna().unique()}
-    return names.map(known)
+    return pd.Series([known.get(n) for n in names], dtype=object)
 
 
 def metaphone(c: Column) -> Column:

@@ -41,7 +41,7 @@ def _digits(c: Column) -> tuple[Column, Column]:
     plain = F.call_function("format_number", c, F.lit("0.##############################"))
     whole = F.substring_index(plain, ".", 1)
     rest = F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise(F.lit(""))
-    return F.length(whole), F.greatest(F.length(F.rtrim(F.lit("0"), rest)), F.lit(1))
+    return F.length(whole), F.greatest(F.length(F.rtrim(rest, F.lit("0"))), F.lit(1))
 
 
 def df_describe(df: DataFrame, approx_distinct: bool = False, rsd: float = 0.05) -> DataFrame:
