@@ -15,28 +15,35 @@ from ..runtime import discard, materialise
 HUB_SHARE = 1000
 
 
-def _with_least(ends: DataFrame, least: DataFrame, ends_count: int) -> DataFrame:
-    """``ends`` (u, v) with ``m`` of ``least`` (u, m, degree)."""
-    floor = max(10_000, -(-ends_count // HUB_SHARE))
+def _with_least(ends: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """``ends`` (u, v) with ``m`` of ``least`` (u, m, degree), which is written."""
+    floor = max(10_000, -(-count // HUB_SHARE))
     hubs = least.where(F.col("degree") >= floor).select("u", F.col("m").alias("hub_m"))
-    others = least.where(F.col("degree") < floor).select("u", "m")
+    if hubs.isEmpty():
+        return ends.join(least.select("u", "m"), "u")
     split = ends.join(F.broadcast(hubs), "u", "left")
     at_hub = split.where(F.col("hub_m").isNotNull()).select("u", "v", F.col("hub_m").alias("m"))
-    return split.where(F.col("hub_m").isNull()).drop("hub_m").join(others, "u").select("u", "v", "m").unionByName(at_hub) if ends_count >= floor else ends.join(others, "u").select("u", "v", "m")
+    others = least.where(F.col("degree") < floor).select("u", "m")
+    return split.where(F.col("hub_m").isNull()).drop("hub_m").join(others, "u").select("u", "v", "m").unionByName(at_hub)
 
 
 def _large_star(edges: DataFrame, count: int) -> DataFrame:
     """Every neighbour above a node moves to the node's smallest neighbour, or to the node itself if that is smaller."""
     ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = ends.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
-    return _with_least(ends, least, 2 * count).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = materialise(ends.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree")))
+    moved = _with_least(ends, least, 2 * count).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = materialise(moved.distinct())
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame, count: int) -> DataFrame:
     """The neighbours below a node, and the node itself, move to the smallest of them. ``edges`` have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
     moved = _with_least(edges.select("u", "v"), least, count).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    out = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    discard(least)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -57,8 +64,8 @@ def group_pairs(pairs: DataFrame, left: str, right: str, max_rounds: int = 100)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        large = materialise(_large_star(edges, state[0]))
-        small = materialise(_small_star(large, max(1, large.count())))
+        large = _large_star(edges, state[0])
+        small = _small_star(large, state[0])
         new = _state(small)
         discard(large)
         discard(edges)
