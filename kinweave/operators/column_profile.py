@@ -57,10 +57,11 @@ def footer_chunks(fields: list[str], load_col: str, patterns: dict[str, str]):
                                 values = None
                                 if known and s.null_count == group.num_rows:
                                     values = []
-                                elif known and isinstance(low, str) and low.strip() and c.has_dictionary_page and not {"PLAIN"} & {*c.encodings[1:]} - {"RLE", "PLAIN_DICTIONARY"}:
+                                elif known and isinstance(low, str) and low.strip() and c.has_dictionary_page:
                                     read = file.read_row_group(g, columns=[f]).column(0)
-                                    if len(read.chunks) == 1 and read.type == "dictionary<values=string, indices=int32, ordered=0>":
-                                        values = read.chunk(0).dictionary.to_pylist()
+                                    if len(read.chunks) == 1 and str(read.type).startswith("dictionary<values=string"):
+                                        used = read.chunk(0).indices.unique().drop_null()  # a dictionary may hold more than the chunk does
+                                        values = read.chunk(0).dictionary.take(used).to_pylist()
                                 enough = values == [] or bool(values) and len(values) > FEW_VALUES and all(v.strip() and (f not in whole or whole[f].fullmatch(v)) for v in values)
                                 rows.append((path, f, load, group.num_rows, s.null_count if known else None, low if isinstance(low, str) else None, high if isinstance(high, str) else None, None, enough))
                                 rows += [(path, f, load, None, None, None, None, v, True) for v in (values or []) if enough]
@@ -99,7 +100,8 @@ def load_profile(df: DataFrame, load_col: str, patterns: DataFrame, year_fields:
     pattern = {r.field_name: r.expected_pattern for r in given if r.field_name in df.columns}
     fields = list(pattern)
     strings = all(isinstance(df.schema[f].dataType, T.StringType) for f in fields)
-    files = df.inputFiles() if strings else []
+    plain = df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"  # else rows differ from files
+    files = df.inputFiles() if strings and plain else []
     chunks = None
     scans: dict[tuple[str, ...], list[str]] = {tuple(fields): []}
     if files:
@@ -113,7 +115,7 @@ def load_profile(df: DataFrame, load_col: str, patterns: DataFrame, year_fields:
             scans.setdefault(tuple(f for f in fields if f in columns), []).append(path)
     parts = []
     for columns, paths in scans.items():
-        rows = spark.read.schema(df.schema).parquet(*paths) if paths else df
+        rows = spark.read.schema(df.schema).parquet(*paths) if 0 < len(paths) < len(files) else df
         parts.append(_long(rows, load_col, list(columns)))
     extra = None
     if chunks is not None:
