@@ -48,6 +48,8 @@ ROWS_PER_BAND = 2
 LIKELY_SIMILARITY, RECALL = 0.36, 0.97
 POSTCODE_WEIGHT = 4
 SMALL_RUN = 24
+POSTCODES_OF_A_NAME = 4
+ROWS_OF_A_DAY = 200_000
 BATCH_ROWS = 20_000
 MAX_NICKNAMES = 100_000
 SAME, NEAR, OPEN = 0.82, 0.88, 0.9
@@ -75,6 +77,9 @@ def sex_code(c: Column) -> Column:
     return F.coalesce(F.when(s.isin("M", "1"), 1).when(s.isin("F", "2"), 2), F.lit(0)).cast("tinyint")
 
 
+Spelling = tuple[tuple[str, ...], tuple[str, ...]]
+
+
 class Names:
     """Parts, signatures and similarity of names, each worked out once for each distinct spelling."""
 
@@ -169,7 +174,7 @@ class Names:
             return 0.0
         return sum(max(self.word_similarity(x, y) for y in b) for x in a) / len(a)
 
-    def name_similarity(self, a: tuple[tuple[str, ...], tuple[str, ...]], b: tuple[tuple[str, ...], tuple[str, ...]], strict: bool) -> float:
+    def name_similarity(self, a: Spelling, b: Spelling, strict: bool) -> float:
         """Of the words or of the fields run together; unless ``strict``, also of the words of one with the fields of the other."""
         best = self.monge_elkan(a[0], b[0])
         if best < 0.999 and (a[0] != a[1] or b[0] != b[1]):
@@ -234,11 +239,26 @@ class Postcodes:
         return np.array(at, np.int64), np.array(key, np.int64)
 
 
-def candidates(signature: np.ndarray, group: np.ndarray, codes: Postcodes, sex: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _of_each_name(members: np.ndarray, spelt: list[Spelling], codes: Postcodes) -> np.ndarray:
+    """Of the members with one and the same name, those with the first few postcodes.
+
+    A row of unknown postcode is equally similar to all of them, so these few tell as well as all that none is clearly best.
+    """
+    seen: dict[Spelling, set[str]] = {}
+    kept = []
+    for m in sorted(members.tolist(), key=lambda m: codes.codes[m]):
+        known = seen.setdefault(spelt[m], set())
+        if len(known) < POSTCODES_OF_A_NAME or codes.codes[m] in known:
+            known.add(codes.codes[m])
+            kept.append(m)
+    return np.array(kept, np.int64)
+
+
+def candidates(signature: np.ndarray, group: np.ndarray, codes: Postcodes, sex: np.ndarray, bands: int, rows: int, spelt: list[Spelling]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that share a band within a group and do not contradict each other in postcode and sex.
 
     A small run of one band gives all its pairs. In a larger one, full postcodes meet by their variants, and those that
-    are unknown in part meet everyone: no possible pair is lost, and pairs that would be refused are not made.
+    are unknown in part meet each other and some of every name: pairs that would be refused anyhow are not made.
     """
     n = len(group)
     found: list[np.ndarray] = []
@@ -259,9 +279,11 @@ def candidates(signature: np.ndarray, group: np.ndarray, codes: Postcodes, sex:
             x, y = _pairs_within(at[o], st[sz > 1], sz[sz > 1])
             left.append(x)
             right.append(y)
-            for x in members[~codes.full[members]]:
-                left.append(np.full(m, x))
-                right.append(members)
+            unknown = members[~codes.full[members]]
+            others = np.concatenate((unknown, _of_each_name(full, spelt, codes)))
+            for x in unknown:
+                left.append(np.full(len(others), x))
+                right.append(others)
         i, j = np.concatenate(left), np.concatenate(right)
         ok = (i != j) & codes.possible(i, j) & ((sex[i] == 0) | (sex[j] == 0) | (sex[i] == sex[j]))
         i, j = i[ok], j[ok]
@@ -314,12 +336,40 @@ class Linker:
     def __init__(self, names: Names) -> None:
         self.names = names
 
+    def signatures(self, spelt: list[Spelling], codes: Postcodes) -> np.ndarray:
+        names = self.names
+        elements = [names.elements(*w) for w in spelt]
+        index: dict[str, int] = {}
+        flat = np.array([index.setdefault(e, len(index)) for es in elements for e in (es or ("",))], np.int64)
+        counts = np.array([max(1, len(es)) for es in elements], np.int64)
+        by_word = np.stack([names.signature(w) for w in index])
+        signature = np.minimum.reduceat(by_word[flat], np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0)
+        whole = np.flatnonzero(codes.full)
+        for w in range(POSTCODE_WEIGHT):
+            h = names.hashes(codes.hash[whole] + np.uint64(w * 0x9E3779B9)).astype(np.uint32)
+            signature[whole] = np.minimum(signature[whole], h)
+        return signature
+
+    def verified(self, left: np.ndarray, right: np.ndarray, spelt: list[Spelling], codes: Postcodes) -> dict[tuple[int, int], tuple[float, str]]:
+        """Similarity and relation of the postcodes of those pairs whose names are similar enough for that relation."""
+        links: dict[tuple[int, int], tuple[float, str]] = {}
+        for a, b in zip(left.tolist(), right.tolist()):
+            kind = codes.relation(a, b)
+            if kind is None:
+                continue
+            s = self.names.name_similarity(spelt[a], spelt[b], kind == "open")
+            if min(len(spelt[a][0]), len(spelt[b][0])) < 2:
+                s -= 0.15
+            if s >= (SAME if kind == "same" else NEAR if kind == "near" else OPEN):
+                links[a, b] = (s, kind)
+        return links
+
     def pairs(self, table: pa.Table) -> Iterator[tuple[list[int], list[int]]]:
         names = self.names
         names.trim()
         vertex: dict[tuple, int] = {}
         rows_of: list[list[int]] = []
-        spelt: list[tuple[tuple[str, ...], tuple[str, ...]]] = []
+        spelt: list[Spelling] = []
         rows = zip(*(table.column(c).to_pylist() for c in ("dob", "forename", "middlename", "surname", "sex", "postcode", "id")))
         for d, f, m, s, x, p, i in rows:
             cf, cm, cs = names.parts(f)[0], names.parts(m)[0], names.parts(s)[0]
@@ -338,27 +388,9 @@ class Linker:
         group = np.array([k[0] for k in keys], np.int64)
         sex = np.array([k[5] for k in keys], np.int8)
         codes = Postcodes([k[4] for k in keys])
-        elements = [names.elements(*w) for w in spelt]
-        index: dict[str, int] = {}
-        flat = np.array([index.setdefault(e, len(index)) for es in elements for e in (es or ("",))], np.int64)
-        counts = np.array([max(1, len(es)) for es in elements], np.int64)
-        by_word = np.stack([names.signature(w) for w in index])
-        signature = np.minimum.reduceat(by_word[flat], np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0)
-        whole = np.flatnonzero(codes.full)
-        for w in range(POSTCODE_WEIGHT):
-            h = names.hashes(codes.hash[whole] + np.uint64(w * 0x9E3779B9)).astype(np.uint32)
-            signature[whole] = np.minimum(signature[whole], h)
-        left, right = candidates(signature, group, codes, sex, names.bands, names.rows)
-        links: dict[tuple[int, int], tuple[float, str]] = {}
-        for a, b in zip(left.tolist(), right.tolist()):
-            kind = codes.relation(a, b)
-            if kind is None:
-                continue
-            s = names.name_similarity(spelt[a], spelt[b], kind == "open")
-            if min(len(spelt[a][0]), len(spelt[b][0])) < 2:
-                s -= 0.15
-            if s >= (SAME if kind == "same" else NEAR if kind == "near" else OPEN):
-                links[a, b] = (s, kind)
+        signature = self.signatures(spelt, codes)
+        left, right = candidates(signature, group, codes, sex, names.bands, names.rows, spelt)
+        links = self.verified(left, right, spelt, codes)
         least = [min(r) for r in rows_of]
         centre = star_clusters(n, _settle(links, codes), [len(r) for r in rows_of], least)
         persons: dict[int, list[int]] = defaultdict(list)
@@ -411,20 +443,31 @@ def _link(nicknames: list[tuple[str, str]], bands: int, rows: int):
     return run
 
 
-def name_variants(df: DataFrame, nicknames: DataFrame, id_col: str = "id", bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
+def name_variants(df: DataFrame, nicknames: DataFrame, id_col: str = "id", bands: int = BANDS, rows: int = ROWS_PER_BAND, rows_of_a_day: int = ROWS_OF_A_DAY) -> DataFrame:
     """``id_a < id_b``: rows of one person whose names differ in letters or digits (forename and middlename exchanged is no difference).
 
     ``df`` has forename, middlename, surname, dob, sex and postcode as strings. Rows without a date of birth of eight
     digits, or with a null id, are linked to none; missing names, sexes and postcodes contradict nothing; equal rows are
     one spelling and each of them is paired; texts of any length are used whole; an empty table has no pairs.
+
+    A date's rows are linked within one task, as a stream of dates. A date with more than ``rows_of_a_day`` rows (a default
+    that stands for "unknown", say) is split: its spellings are shuffled by band instead, and stars are found by rounds of
+    joins. Both ways give the same links.
     """
+    from .crowded_days import crowded_pairs
+
     ship(df.sparkSession)
     short = nicknames.where("short_name is not null and full_name is not null").select("short_name", "full_name").limit(MAX_NICKNAMES + 1).collect()
     if len(short) > MAX_NICKNAMES:
         raise ValueError(f"more than {MAX_NICKNAMES} nicknames")
+    given = [(r.short_name, r.full_name) for r in short]
     low = [F.lower(F.col(c)).alias(c) for c in ("forename", "middlename", "surname")]
     code = F.coalesce(F.regexp_replace(F.upper("postcode"), "[^A-Z0-9]", ""), F.lit("")).alias("postcode")
     rows_in = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), plain_date(F.col("dob")).alias("dob"), *low, sex_code(F.col("sex")).alias("sex"), code)
+    rows_in = rows_in.where("dob is not null")
     parts = parallelism(df.sparkSession)
-    grouped = rows_in.where("dob is not null").repartition(parts, "dob").sortWithinPartitions("dob")
-    return grouped.mapInArrow(_link([(r.short_name, r.full_name) for r in short], bands, rows), "id_a long, id_b long")
+    days = df.groupBy(F.col("dob").alias("written")).count().groupBy(plain_date(F.col("written")).alias("day")).agg(F.sum("count").alias("n"))
+    crowded = [r.day for r in days.where(F.col("day").isNotNull() & (F.col("n") > rows_of_a_day)).collect()]  # at most rows / rows_of_a_day, and as many as there are days
+    usual = rows_in.where(~F.col("dob").isin(crowded)) if crowded else rows_in
+    found = usual.repartition(parts, "dob").sortWithinPartitions("dob").mapInArrow(_link(given, bands, rows), "id_a long, id_b long")
+    return found.unionByName(crowded_pairs(rows_in.where(F.col("dob").isin(crowded)), given, bands, rows)) if crowded else found
