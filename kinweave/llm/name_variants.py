@@ -53,6 +53,8 @@ ROWS_OF_A_DAY = 200_000
 BATCH_ROWS = 20_000
 MAX_NICKNAMES = 100_000
 SAME, NEAR, OPEN = 0.82, 0.88, 0.9
+#: Words are alike from this Jaro-Winkler similarity on (which takes a Jaro similarity of 0.73); others get a fixed low one.
+ALIKE, UNLIKE = 0.84, 0.3
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -149,7 +151,9 @@ class Names:
         fa, fb = self.full.get(short, set()) | {short}, self.full.get(long, set()) | {long}
         if fa & fb:
             return 0.96
-        s = jaro_winkler(short, long)
+        common = sum(min(short.count(c), long.count(c)) for c in set(short))
+        possible = (common / len(short) + common / len(long) + 1) / 3  # Jaro cannot be more
+        s = jaro_winkler(short, long) if possible >= 0.73 else 0.0
         if one_edit(short, long) and len(long) > 3:
             s = max(s, 0.93)
         if any(x != short and (x == long or one_edit(x, long)) or y != long and one_edit(y, short) and len(y) > 3 for x in fa for y in fb):
@@ -164,15 +168,17 @@ class Names:
             at = iter(long)
             if all(c in at for c in short):
                 return max(s, 0.86)
-        return s if s >= 0.84 else s / 2
+        return s if s >= ALIKE else UNLIKE
 
     def monge_elkan(self, a: tuple[str, ...], b: tuple[str, ...]) -> float:
-        """Mean, over the words of the name with fewer words, of the best similarity to a word of the other name."""
+        """Mean, over the words of the name with fewer words (of both, if they have as many), of the best similarity to a
+        word of the other name."""
         if len(a) > len(b):
             a, b = b, a
         if not a:
             return 0.0
-        return sum(max(self.word_similarity(x, y) for y in b) for x in a) / len(a)
+        best = sum(max(self.word_similarity(x, y) for y in b) for x in a) / len(a)
+        return best if len(a) < len(b) or best == 1.0 else (best + sum(max(self.word_similarity(x, y) for x in a) for y in b) / len(b)) / 2
 
     def name_similarity(self, a: Spelling, b: Spelling, strict: bool) -> float:
         """Of the words or of the fields run together; unless ``strict``, also of the words of one with the fields of the other."""
