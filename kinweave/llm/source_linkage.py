@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -73,29 +74,45 @@ def _prepared(source: Source, full_of: Column) -> DataFrame:
 
 
 def _block_keys() -> list[list[Column]]:
-    """Block keys; a key with a missing part blocks nothing."""
+    """Block keys; a key with a missing part blocks nothing.
+
+    Same sounding names meet by any two parts of their dates. The address number is cut in four, the first half counted
+    from its start and the second from its end: two changed digits, a swap or one digit more or less leave two cuts whole.
+    """
     f, g, s, d, u = (F.col(c) for c in "fgsdu")
     year, month, day = (d / 10000).cast("int"), (d / 100).cast("int") % 100, d % 100
     initial = F.substring(g, 1, 1)
+    cuts = [F.substring(u, at, 3) for at in (1, 4, -6, -3)]
     return [
         [d, F.soundex(s)],
         [d, F.soundex(g)],
         [d, u],
         [u, F.soundex(s), initial],
         [u, F.soundex(g), F.substring(s, 1, 1)],
-        [f, s, month, day],
-        [f, s, year, month],
-        [f, s, year, day],
-        [f, s, year, F.least(month, day), F.greatest(month, day)],
+        [F.soundex(g), F.soundex(s), month, day],
+        [F.soundex(g), F.soundex(s), year, month],
+        [F.soundex(g), F.soundex(s), year, day],
+        [F.soundex(g), F.soundex(s), year, F.least(month, day), F.greatest(month, day)],
         [F.least(f, s), F.greatest(f, s), d],
         [g, s, u],
-        [f, s, F.substring(u, 1, 7)],
-        [f, s, F.substring(u, -7, 7)],
+        *([f, s, x, y] for x, y in combinations(cuts, 2)),
     ]
 
 
-def _keyed(rows: DataFrame, name: str) -> DataFrame:
-    keys = [F.when(sum((c.isNull().cast("int") for c in parts), F.lit(0)) == 0, F.xxhash64(F.lit(k), *parts)) for k, parts in enumerate(_block_keys())]
+def _scarce_keys(side: str) -> list[list[Column]]:
+    """Block keys whose blocks are small by count: an address of few, and a name that is not usual where a record without
+    a date of birth meets those with or without one."""
+    few = F.when(F.col("lives") <= CROWDED, F.col("u"))
+    rare = F.when(F.col("named") <= F.col("usual"), F.col("f"))
+    undated = F.when(F.col("d").isNull(), rare)
+    left, right = (undated, rare) if side == "l" else (rare, undated)
+    return [[few], [left, F.col("s")], [right, F.col("s")]]
+
+
+def _keyed(rows: DataFrame, name: str, side: str = "") -> DataFrame:
+    """Ids and block keys; of the ``side`` l or r, also the scarce ones, for which rows must be counted."""
+    kinds = _block_keys() + (_scarce_keys(side) if side else [])
+    keys = [F.when(sum((c.isNull().cast("int") for c in parts), F.lit(0)) == 0, F.xxhash64(F.lit(k), *parts)) for k, parts in enumerate(kinds)]
     return rows.select(F.col("id").alias(name), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
@@ -119,12 +136,17 @@ def _cooled(keyed: DataFrame, hot: DataFrame, name: str) -> DataFrame:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs with a block key in common, of records as :func:`_prepared` makes them.
+    """Distinct pairs with a block key in common, of records as :func:`_prepared` makes them."""
+    return _pairs(*_counted(left, right))
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """:func:`candidate_pairs` of records that are counted.
 
     A key that holds a large share of all keys (an address or birth date that stands for "unknown") tells little and would
     make pairs without end: of two records with such a key in common, another one, hot or not, is asked for as well.
     """
-    l, r = _keyed(left, "l_id"), _keyed(right, "r_id")
+    l, r = _keyed(left, "l_id", "l"), _keyed(right, "r_id", "r")
     hot = _hot_keys(l.select("key").unionByName(r.select("key")))
     if hot is not None:
         l, r = _cooled(l, hot, "l_id"), _cooled(r, hot, "r_id")
@@ -182,12 +204,19 @@ def votes() -> dict[str, Column]:
     return {k: v.cast("int") for k, v in {"first": first, "last": last, "born": born, "place": place, "common": common}.items()}
 
 
-def _counted(rows: DataFrame, both: DataFrame) -> DataFrame:
-    """``rows`` with how many records of both sources live at the address and have the same first and last name."""
+def _counted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with how many records of both sources live at the address and have the same first and last name, and above how
+    many a name is usual."""
+    both = left.select("u", "f", "s").unionByName(right.select("u", "f", "s"))
+    usual = both.agg((F.count("*") / 20_000.0).alias("usual"))  # one row
     lives = both.where("u is not null").groupBy("u").agg(F.count("*").alias("lives"))
     named = both.where("f is not null and s is not null").groupBy("f", "s").agg(F.count("*").alias("named"))
-    out = rows.join(lives, "u", "left").join(named, ["f", "s"], "left")
-    return out.withColumns({"lives": F.coalesce("lives", F.lit(0)), "named": F.coalesce("named", F.lit(0))})
+
+    def with_counts(rows: DataFrame) -> DataFrame:
+        out = rows.join(lives, "u", "left").join(named, ["f", "s"], "left").crossJoin(F.broadcast(usual))
+        return materialise(out.withColumns({"lives": F.coalesce("lives", F.lit(0)), "named": F.coalesce("named", F.lit(0))}))
+
+    return with_counts(left), with_counts(right)
 
 
 def link_sources(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFrame, LabelModel | None]:
@@ -200,13 +229,9 @@ def link_sources(left: Source, right: Source, nicknames: DataFrame) -> tuple[Dat
     spark = left.df.sparkSession
     known = _familiar(nicknames)
     full_of = F.create_map(*[x for short, full in sorted(known.items()) for x in (F.lit(short), F.array(*map(F.lit, full)))])
-    l, r = _prepared(left, full_of), _prepared(right, full_of)
-    both = l.select("u", "f", "s").unionByName(r.select("u", "f", "s"))
-    usual = both.agg((F.count("*") / 20_000.0).alias("usual"))  # one row
-    pairs = candidate_pairs(l, r)
-    l, r = _counted(l, both), _counted(r, both)
+    l, r = _counted(_prepared(left, full_of), _prepared(right, full_of))
     side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
-    full = pairs.join(side(l, "l"), "l_id").join(side(r, "r"), "r_id").crossJoin(F.broadcast(usual))
+    full = _pairs(l, r).join(side(l, "l").withColumnRenamed("l_usual", "usual"), "l_id").join(side(r, "r"), "r_id")
     voted = materialise(full.select("l_id", "r_id", *[v.alias(k) for k, v in votes().items()]))
     names = list(LEVELS)
     counts = voted.groupBy(*names).count().collect()  # at most as many rows as the levels have combinations

@@ -81,3 +81,27 @@ def test_hot_keys_ask_for_another_key(spark, monkeypatch):
 
 def test_votes_have_their_levels():
     assert list(votes()) == list(LEVELS) and all(len(k[i]) == n - 1 for k in KINDS.values() for i, n in enumerate(LEVELS.values()))
+
+
+MEET = [
+    (("Torquil", "Marrigg", "1980-01-02", "990028576973"), ("Torquil", "Marrigg", None, "990028756973")),
+    (("Torquil", "Marrigg", None, "990028576973"), ("Torquil", "Marrigg", "1980-01-02", "99002876973")),
+    (("Torquil", "Marrigg", None, "990028576973"), ("Torquil", "Marrigg", None, "990128577973")),
+    (("Torquil", "Marrigg", None, "990028576973"), ("Torquil", "van Karrigg", "1980-01-02", "990028576973")),
+    (("Torquil", "Marrigg", "1980-01-02", "990028576973"), ("Torquil", "Thornbeck", None, "990028576973")),
+    ((None, "Marrigg", None, "990028576973"), ("Torquil", "Marrigg", "1980-01-02", "990028576973")),
+    (("Torquil", "Marrigg", "1980-01-02", "990028576973"), ("Torquill", "Marrigg", "1980-01-03", None)),
+    (("Corwin", "Pelling", None, "990028576973"), ("Corwin", "Pelling", "1980-01-02", None)),
+]
+
+
+def test_pairs_without_a_whole_date_or_address_meet(spark):
+    from kinweave.llm import source_linkage as module
+
+    l, r, _ = frames(spark, [(f"L{i}", *a) for i, (a, _) in enumerate(MEET)], [(f"R{i}", *b) for i, (_, b) in enumerate(MEET)])
+    # nameless rows, so many that two namesakes are no usual name
+    many = spark.range(80_000).select(F.concat(F.lit("X"), "id").alias("r_id"), *[F.lit(None).cast("string").alias(c) for c in ("first_name", "last_name", "date_of_birth", "uprn")])
+    r = Source(r.df.drop("f").unionByName(many), "r_id")
+    none = F.create_map(F.lit(""), F.array(F.lit("")))
+    got = {tuple(x) for x in module.candidate_pairs(module._prepared(l, none), module._prepared(r, none)).collect()}
+    assert {(f"L{i}", f"R{i}") for i in range(len(MEET))} <= got
