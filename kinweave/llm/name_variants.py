@@ -48,7 +48,6 @@ ROWS_PER_BAND = 2
 LIKELY_SIMILARITY, RECALL = 0.36, 0.97
 POSTCODE_WEIGHT = 4
 SMALL_RUN = 24
-POSTCODES_OF_A_NAME = 4
 ROWS_OF_A_DAY = 200_000
 BATCH_ROWS = 20_000
 MAX_NICKNAMES = 100_000
@@ -234,6 +233,17 @@ class Postcodes:
             return "open" if other.startswith(short) else None
         return "open"
 
+    def by_code(self, members: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        """The members by their code."""
+        of: dict[str, list[int]] = defaultdict(list)
+        for m in members.tolist():
+            of[self.codes[m]].append(m)
+        return [(c, np.array(ms, np.int64)) for c, ms in of.items()]
+
+    def starting(self, members: np.ndarray, code: str) -> np.ndarray:
+        """Which members' codes start with ``code``, or are the start of it."""
+        return np.array([c.startswith(code) or code.startswith(c) for c in (self.codes[m] for m in members.tolist())], bool)
+
     def variants(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys under which any two full postcodes at most one edit apart meet: each code, and it with a letter left out."""
         at, key = [], []
@@ -245,26 +255,11 @@ class Postcodes:
         return np.array(at, np.int64), np.array(key, np.int64)
 
 
-def _of_each_name(members: np.ndarray, spelt: list[Spelling], codes: Postcodes) -> np.ndarray:
-    """Of the members with one and the same name, those with the first few postcodes.
-
-    A row of unknown postcode is equally similar to all of them, so these few tell as well as all that none is clearly best.
-    """
-    seen: dict[Spelling, set[str]] = {}
-    kept = []
-    for m in sorted(members.tolist(), key=lambda m: codes.codes[m]):
-        known = seen.setdefault(spelt[m], set())
-        if len(known) < POSTCODES_OF_A_NAME or codes.codes[m] in known:
-            known.add(codes.codes[m])
-            kept.append(m)
-    return np.array(kept, np.int64)
-
-
 def candidates(signature: np.ndarray, group: np.ndarray, codes: Postcodes, sex: np.ndarray, bands: int, rows: int, spelt: list[Spelling]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that share a band within a group and do not contradict each other in postcode and sex.
 
     A small run of one band gives all its pairs. In a larger one, full postcodes meet by their variants, and those that
-    are unknown in part meet each other and some of every name: pairs that would be refused anyhow are not made.
+    are unknown in part meet all that start with them, or that they start with: pairs that would be refused anyhow are not made.
     """
     n = len(group)
     found: list[np.ndarray] = []
@@ -286,10 +281,10 @@ def candidates(signature: np.ndarray, group: np.ndarray, codes: Postcodes, sex:
             left.append(x)
             right.append(y)
             unknown = members[~codes.full[members]]
-            others = np.concatenate((unknown, _of_each_name(full, spelt, codes)))
-            for x in unknown:
-                left.append(np.full(len(others), x))
-                right.append(others)
+            for code, xs in codes.by_code(unknown):
+                others = members[codes.starting(members, code)]
+                left.append(np.repeat(xs, len(others)))
+                right.append(np.tile(others, len(xs)))
         i, j = np.concatenate(left), np.concatenate(right)
         ok = (i != j) & codes.possible(i, j) & ((sex[i] == 0) | (sex[j] == 0) | (sex[i] == sex[j]))
         i, j = i[ok], j[ok]

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from kinweave.llm import name_variants as module
@@ -105,3 +106,12 @@ def test_star_clusters():
     assert star_clusters(4, [(0, 1, 0.9), (0, 2, 0.8), (2, 3, 0.95)], [1] * 4, [0, 1, 2, 3]) == [0, 0, 3, 3]
     assert star_clusters(3, [], [1] * 3, [0, 1, 2]) == [0, 1, 2]
     assert star_clusters(3, [(0, 1, 0.9), (1, 2, 0.9)], [1] * 3, [0, 1, 2]) == [1, 1, 1]
+
+
+def test_the_only_compatible_partner_is_found_among_many():
+    """In one run: an outward code behind many postcodes of the name; an unknown one behind many of the other sex."""
+    codes = module.Postcodes([f"QA{i:02}1AA" for i in range(40)] + ["QF49XF", "QF4", ""])
+    sex = np.array([2] * 40 + [1, 1, 1], np.int8)
+    spelt = [Names([]).words(("frances", None, "averdale"))] * 43
+    left, right = module.candidates(np.zeros((43, 2), np.uint32), np.zeros(43, np.int64), codes, sex, 1, 2, spelt)
+    assert {(40, 41), (40, 42)} <= set(zip(left.tolist(), right.tolist()))
