@@ -2,40 +2,73 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, taken from ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """The folder all executors share, taken from ``spark.checkpoint.dir``. Where that is unset, a local folder is made on a
+    local master; on a cluster, whose executors could not read it, this is a RuntimeError."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='kinweave-')}"
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_own_dirs: dict[str, str] = {}
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. What is still in it when Python ends is deleted then: tables that a
+    returned frame reads cannot be deleted before."""
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = f"{shared_dir(spark)}/kinweave-{app}-{uuid.uuid4().hex[:8]}"
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # the JVM may have ended before
+                _delete(spark, _own_dirs[app])
+
+        atexit.register(clear)
+    return _own_dirs[app]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/kinweave-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kinweave_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Deletes what :func:`materialise` wrote for ``df``; frames from elsewhere are left alone."""
-    path = getattr(df, "_kinweave_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+    """:func:`materialise` and aggregates over all rows, taken while they are written, without another pass."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+    return out, seen.get
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what :func:`materialise` wrote for the frames; those from elsewhere are left alone."""
+    for df in frames:
+        if path := getattr(df, "_kinweave_path", None):
+            _delete(df.sparkSession, path)
 
 
 def parallelism(spark: SparkSession, rows: int = 0, rows_per_task: int = 250_000) -> int:
