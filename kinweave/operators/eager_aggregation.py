@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
+
 COUNT = "decimal(38,0)"
 
 
@@ -49,19 +51,29 @@ def eager_join_aggregate(
         raise ValueError("names of sums and by columns must differ")
     a = key_states(left, left_key, left_sums, left_by).withColumnRenamed("n", "n_left").where("key is not null")
     b = key_states(right, right_key, right_sums, right_by).withColumnRenamed("n", "n_right").where("key is not null")
-    joined = a.join(b, "key", how)
+    return _join_states(a, b, list(left_sums or {}), list(right_sums or {}), roll_up if roll_up is not None else ["key"], how)
+
+
+def _join_states(a: DataFrame, b: DataFrame, left_sums: list[str], right_sums: list[str], by: list[str], how: str) -> DataFrame:
     partners = F.greatest(F.coalesce("n_right", F.lit(0)), F.lit(1)) if how == "left" else F.col("n_right")
     out = [F.sum(F.col("n_left")).alias("n_left"), F.sum(F.coalesce("n_right", F.lit(0))).alias("n_right"), F.sum(F.col("n_left").cast(COUNT) * partners).cast(COUNT).alias("n_pairs")]
-    out += [F.sum(F.col(s) * partners).alias(s) for s in left_sums or {}]
-    out += [F.sum(F.col(s) * F.col("n_left")).alias(s) for s in right_sums or {}]
-    return joined.groupBy(*(roll_up if roll_up is not None else ["key"])).agg(*out)
+    out += [F.sum(F.col(s) * partners).alias(s) for s in left_sums]
+    out += [F.sum(F.col(s) * F.col("n_left")).alias(s) for s in right_sums]
+    return a.join(b, "key", how).groupBy(*by).agg(*out)
 
 
-def heavy_keys(df: DataFrame, key: Column, partner: DataFrame, partner_key: Column, share: float) -> DataFrame:
-    """``key``, ``n_rows`` and ``n_pairs`` (rows of its join with ``partner``) of the non-null keys with at least ``share`` of all rows.
+def heavy_keys(df: DataFrame, key: Column, partner: DataFrame, partner_key: Column, one_in: int) -> DataFrame:
+    """``key``, ``n_rows`` and ``n_pairs`` (rows of its join with ``partner``) of the non-null keys with at least one in
+    ``one_in`` of all rows.
 
-    The row count of the table, null keys included, is itself rolled up from states. An empty table has no heavy keys.
+    The states of ``df`` are written once; the row count of the table, null keys included, is rolled up from them, and the
+    joined states give the rest: a key's rows are its joined rows by its partners, in whole numbers. A key without a partner
+    counts as one joined row for each of its rows. An empty table has no heavy keys.
     """
-    total = key_states(df, key).agg(F.sum("n").alias("total"))
-    per_key = eager_join_aggregate(df, partner, key, partner_key, how="left")
-    return per_key.crossJoin(F.broadcast(total)).where(F.col("n_left") >= F.col("total") * share).select("key", F.col("n_left").alias("n_rows"), "n_pairs")  # total has one row
+    own = materialise(key_states(df, key).withColumnRenamed("n", "n_left"))
+    other = key_states(partner, partner_key).withColumnRenamed("n", "n_right").where("key is not null")
+    total = own.agg(F.sum("n_left").cast(COUNT).alias("total"))  # one row
+    joined = _join_states(own.where("key is not null"), other, [], [], ["key"], "left")
+    partners = F.greatest("n_right", F.lit(1))
+    heavy = joined.crossJoin(F.broadcast(total)).where(F.col("n_pairs") * one_in >= F.col("total") * partners)
+    return heavy.select("key", (F.col("n_pairs") / partners).cast("long").alias("n_rows"), "n_pairs")

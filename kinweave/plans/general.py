@@ -63,8 +63,8 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, left = table(spark, sf_dir, "df"), table(spark, sf_dir, "df_l")
     pairs, about = table(spark, sf_dir, "matchkey_join"), table(spark, sf_dir, "matchkey_descriptions")
-    surnames = heavy_keys(df, F.col("surname"), left, F.col("last_name"), 1 / 40)
-    keys = heavy_keys(pairs, F.col("matchkey"), about, F.col("matchkey"), 1 / 40)
+    surnames = heavy_keys(df, F.col("surname"), left, F.col("last_name"), 40)
+    keys = heavy_keys(pairs, F.col("matchkey"), about, F.col("matchkey"), 40)
     return surnames.select(F.lit("surname").alias("key_field"), F.col("key").alias("key_value")).unionByName(keys.select(F.lit("matchkey").alias("key_field"), F.col("key").cast("string").alias("key_value")))
 
 
