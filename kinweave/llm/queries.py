@@ -11,7 +11,7 @@ from ..runtime import table
 from .format_duplicates import format_duplicates
 from .group_pairs import group_pairs
 from .lookalikes import visually_identical
-from .mixing import mix_sources
+from .mixing import mix_sources, mixing_rates
 from .name_variants import name_variants
 from .source_linkage import MATCH, Source, link_sources
 from .tokens import encode_texts
@@ -61,11 +61,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates for sizes in characters, which SQL can check."""
+    sizes = table(spark, sf_dir, "documents").where("source is not null").select("source", F.coalesce("n_chars", F.lit(0)).alias("n_tokens"))
+    rates = mixing_rates(sizes, table(spark, sf_dir, "mix_targets"))
+    return rates.select("source", "target_share", "max_repeats", "n_docs", F.col("tokens").alias("chars"), F.round("rate", 6).alias("rate"), F.round("short_tokens", 3).alias("short_chars"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visually_identical(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p6_confidence, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p6_confidence, p7_ids, p8_mix, p8_shares, p8_rates, p9_found)}
 
 _CLEAN = {k: f"coalesce(lower(regexp_replace({k}, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '')" for k in RECORD_FIELDS}
 _CANONICAL = f"""concat_ws(chr(1), {_CLEAN["dob"]}, {_CLEAN["postcode"]}, {_CLEAN["surname"]}, {_CLEAN["sex"]},
@@ -84,4 +91,13 @@ SQL: dict[str, str] = {
         )
         SELECT least AS group_id, id AS record_id FROM reached""",
     "p1_groups": f"SELECT min(id) AS keep_id, count(*) AS n_copies FROM df GROUP BY {_CANONICAL}",
+    "p8_rates": """
+        WITH t AS (
+            SELECT source, target_share, max_repeats, count(doc_id) AS n_docs, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars
+            FROM mix_targets LEFT JOIN documents USING (source) GROUP BY ALL
+        ), w AS (
+            SELECT *, CASE WHEN chars > 0 THEN target_share * (SELECT sum(chars) FROM t) / (SELECT sum(target_share) FROM t WHERE chars > 0) ELSE 0.0 END AS wish FROM t
+        )
+        SELECT source, target_share, max_repeats, n_docs, chars, round(CASE WHEN chars > 0 THEN least(wish / chars, max_repeats) ELSE 0.0 END, 6)::DOUBLE AS rate,
+            round(CASE WHEN chars > 0 AND wish / chars >= max_repeats THEN wish - max_repeats * chars ELSE 0.0 END, 3)::DOUBLE AS short_chars FROM w""",
 }
