@@ -15,14 +15,17 @@ from functools import lru_cache
 from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import materialise, ship
 
-#: Letters of other alphabets and the Latin letters they cannot be told from.
+#: Letters and the plain Latin letters they cannot be told from; these hold also where the public table of
+#: look-alikes (see known_look_alikes) has several letters of an alphabet for one.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮԌԜаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTXYGWaesijopcyxhdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν", "ABEZHIKMNOPTYXoiv"))
+LATIN = dict(zip("ɑıɡ", "aig"))
+FIXED = CYRILLIC | GREEK | LATIN
 #: Characters without a shape, kinds of hyphen, and marks of text that are not joined letters.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0]
 HYPHENS = [0x2010, 0x2011, 0xFE63, 0xFF0D]
@@ -56,12 +59,36 @@ class Classes:
         return {k: v for k, v in out.items() if len(v) > 1}
 
 
-def look_alike_classes() -> Classes:
-    """All classes, from the Unicode database by rule and from the fixed letters above. The empty string is a member too."""
+def known_look_alikes(spark: SparkSession) -> dict[str, str]:
+    """Letters and the plain Latin letters they look like, of the same case, from Unicode's public table of confusables.
+
+    Spark's own jars hold that table. Where several letters of an alphabet have one Latin letter in it they differ to a
+    reader of that alphabet: of those only the fixed ones above are taken. Without the table the fixed ones are all.
+    """
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError:  # the class is not there
+        return dict(FIXED)
+    letters = [ch for ch in map(chr, range(0x41, 0x20000)) if unicodedata.category(ch) in ("Lu", "Ll") and unicodedata.normalize("NFKC", ch) == ch]
+    bare = dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")))
+    plain = {(bare[ch], ch.isupper()): ch for ch in bare if ch.isascii()}
+    found: dict[tuple[str, str], list[str]] = {}
+    for ch in bare:
+        if not ch.isascii() and (latin := plain.get((bare[ch], unicodedata.category(ch) == "Lu"))):
+            found.setdefault((unicodedata.name(ch, "").split(" ")[0], latin), []).append(ch)
+    return {chars[0]: latin for (_, latin), chars in found.items() if len(chars) == 1} | FIXED
+
+
+def look_alike_classes(known: dict[str, str] | None = None) -> Classes:
+    """All classes, from the Unicode database by rule and from the ``known`` letters. The empty string is a member too."""
     c = Classes()
-    for letters in (CYRILLIC, GREEK):
-        for a, b in letters.items():
-            c.join(a, b)
+    known = FIXED if known is None else known
+    same: dict[str, set[str]] = {}
+    for a, b in known.items():
+        c.join(a, b)
+        same.setdefault(b, {b}).add(a)
+    for b in list(same):
+        same |= dict.fromkeys(same[b], same[b])
     for code in INVISIBLE:
         c.join(chr(code), "")
     for code in HYPHENS:
@@ -89,7 +116,7 @@ def look_alike_classes() -> Classes:
         c.join(ch, parts)
     for ch, parts in composed:  # an accent on a look-alike is a look-alike of the accented letter
         if len(parts) > 1:
-            for base in sorted(_same(c, parts[0])):
+            for base in sorted(_same(parts[0], same)):
                 c.join(ch, base + parts[1:])
                 c.join(ch, unicodedata.normalize("NFC", base + parts[1:]))
     return c
@@ -97,13 +124,14 @@ def look_alike_classes() -> Classes:
 
 @lru_cache(maxsize=4096)
 def _fixed_same(base: str) -> frozenset[str]:
-    latin = CYRILLIC.get(base) or GREEK.get(base) or base
-    return frozenset([latin, *(a for letters in (CYRILLIC, GREEK) for a, b in letters.items() if b == latin)])
+    latin = FIXED.get(base) or base
+    return frozenset([latin, *(a for a, b in FIXED.items() if b == latin)])
 
 
-def _same(c: Classes, base: str) -> set[str]:
-    wide = chr(ord(base) + 0xFEE0) if 0x21 <= ord(base) <= 0x7E else base
-    return {x for b in _fixed_same(base) | {base} for x in (b, *([chr(ord(b) + 0xFEE0)] if 0x21 <= ord(b) <= 0x7E else []))} | {wide}
+def _same(base: str, same: dict[str, set[str]]) -> set[str]:
+    """The look-alikes of a letter, with those of full width."""
+    found = same.get(base, {base}) | {base}
+    return found | {chr(ord(b) + 0xFEE0) for b in found if 0x21 <= ord(b) <= 0x7E}
 
 
 def representatives(classes: Classes, counts: dict[str, int]) -> dict[str, str]:
@@ -208,7 +236,7 @@ def one_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
     """
     ship(df.sparkSession)
     df = df.drop(out)
-    classes = look_alike_classes()
+    classes = look_alike_classes(known_look_alikes(df.sparkSession))
     known = {x for m in classes.members().values() for x in m}
     seen = df.select(text).where(F.col(text).isNotNull()).mapInArrow(_counter(known), "member string, n long")
     counts = {r.member: r.n for r in seen.groupBy("member").agg(F.sum("n").alias("n")).collect()}
@@ -216,17 +244,36 @@ def one_form(df: DataFrame, text: str = "text", out: str = "form") -> DataFrame:
     return df.mapInArrow(_rewrite(rules, text, out), df.select("*", F.lit(None).cast("string").alias(out)).schema)
 
 
+def _hashed(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    h = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
+    forms = one_form(df.select(id_col, text), text, "form").where(F.trim(F.regexp_replace("form", r"\s+", "")) != "")
+    return forms.select(F.col(id_col).alias("id"), h(F.col("form")).alias("f"), h(F.col(text)).alias("t"))
+
+
+def visually_identical_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``<id_col>, form_id, text_id``: documents whose form has several stored texts; those with one ``form_id`` look the
+    same, those with one ``text_id`` are the same. One row for each document, so it grows as the table however many
+    copies there are. Null and blank forms never count; repeated ids are as many rows."""
+    return _several(materialise(_hashed(df, id_col, text))).select(F.col("id").alias(id_col), _short("f").alias("form_id"), _short("t").alias("text_id"))
+
+
+def _short(c: str) -> Column:
+    return F.concat(F.hex(f"{c}.a"), F.lit("-"), F.hex(f"{c}.b"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    texts = rows.select("f", "t").distinct()  # as few rows for a text as there are tasks, however many copies it has
+    return rows.join(texts.groupBy("f").count().where("count > 1").select("f"), "f", "left_semi")
+
+
 def visually_identical(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_a < doc_b``: documents with the same form whose stored texts differ, by bytes.
 
-    Null and blank forms never count. Only texts' 128-bit hashes are shuffled. Forms with a single stored text, however
-    many copies it has, are dropped before anything is joined, and texts are paired before their documents are.
+    The corpus is rewritten once and read twice; only texts' 128-bit hashes are written and shuffled. Forms with a single
+    stored text, however many copies it has, are dropped before anything is joined, and texts are paired before their
+    documents are. All pairs are asked for; :func:`visually_identical_groups` has a row for each document instead.
     """
-    h = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
-    forms = one_form(df.select(id_col, text), text, "form").where(F.trim(F.regexp_replace("form", r"\s+", "")) != "")
-    rows = forms.select(F.col(id_col).alias("id"), h(F.col("form")).alias("f"), h(F.col(text)).alias("t"))
-    several = rows.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("f")
-    rows = rows.join(several, "f", "left_semi")
+    rows = materialise(_several(materialise(_hashed(df, id_col, text))))
     texts = rows.select("f", "t").distinct()
     pairs = texts.withColumnRenamed("t", "ta").join(texts.withColumnRenamed("t", "tb"), "f").where("ta < tb").select("ta", "tb")
     a, b = rows.select(F.col("t").alias("ta"), F.col("id").alias("ia")), rows.select(F.col("t").alias("tb"), F.col("id").alias("ib"))

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinweave.llm.lookalikes import Classes, Rewriter, look_alike_classes, one_form, possible_rules, representatives, visually_identical
+from kinweave.llm.lookalikes import Classes, Rewriter, known_look_alikes, look_alike_classes, one_form, possible_rules, representatives, visually_identical, visually_identical_groups
 
 CLASSES = look_alike_classes()
 RULES = representatives(CLASSES, {"fi": 3, "o": 9, "e": 9})
@@ -67,3 +67,20 @@ def test_form_of_nulls_and_empty_tables(spark):
 
 def test_many_copies_of_one_text_make_no_pairs(spark):
     assert visually_identical(frame(spark, ["same text"] * 3000 + ["sаme text"])).count() == 3000
+
+
+def test_public_look_alikes(spark):
+    known = known_look_alikes(spark)
+    assert {known.get(x) for x in "αа"} == {"a"} and known["ρ"] == "p" and known["υ"] == "u" and known["ѵ"] == "v" and known["Ꭺ"] == "A" and known["ı"] == "i" and known["ɡ"] == "g"
+    assert "σ" not in known and known["ο"] == "o"  # both are o in the table, but no reader of Greek takes one for the other
+    assert all(a.isupper() == b.isupper() and b.isascii() for a, b in known.items()) and not any(x in known for x in "éßøþ")
+    form = Rewriter(representatives(look_alike_classes(known), {"a": 9, "α": 1}))
+    assert form("pάpα") == form("pápa") and form("ɡıve") == form("give") and form("σ") != form("o")
+
+
+def test_groups_have_a_row_for_each_document(spark):
+    texts = ["same", "ѕame", "same", "other", "оther", "alone", "alone", None, "", " "]
+    got = {r.doc_id: r for r in visually_identical_groups(frame(spark, texts)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4} and got[0].text_id == got[2].text_id != got[1].text_id
+    assert got[0].form_id == got[1].form_id != got[3].form_id == got[4].form_id
+    assert visually_identical_groups(frame(spark, [None]).limit(0)).count() == 0
