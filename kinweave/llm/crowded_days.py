@@ -2,8 +2,8 @@
 
 Spellings (distinct names, postcodes and sexes of a date) are made by a grouped aggregate; each goes to the buckets of its
 bands; pairs are verified there; rows of unknown postcodes are settled by aggregates; stars are found by rounds in which
-the first of its undecided neighbours becomes a centre. What a task holds is one bucket: spellings of a date that share two
-minima of their elements.
+the first of its undecided neighbours becomes a centre. A bucket (spellings of a date that share two minima of their elements)
+that is too large for a task is cut into cells: its spellings are dealt into parts, and every two parts meet in one cell.
 """
 
 from __future__ import annotations
@@ -15,15 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialise, parallelism
-from .name_variants import Linker, Names, Postcodes, candidates
+from ..runtime import discard, materialise, measured, parallelism
+from .name_variants import MOST_BROADCAST, Linker, Names, Postcodes, candidates, whole_groups
 
-FIELDS = ["forename", "middlename", "surname", "sex", "postcode"]
 VERTEX = "v long, weight long, dob int, forename string, middlename string, surname string, sex byte, postcode string"
 
 
-def _spelt(names: Names, t: pa.Table):
-    return [names.words(f) for f in zip(*(t.column(c).to_pylist() for c in FIELDS[:3]))]
+BUCKET_ROWS = 10_000
 
 
 def _to_buckets(nicknames, bands: int, rows: int):
@@ -35,7 +33,7 @@ def _to_buckets(nicknames, bands: int, rows: int):
                 continue
             names.trim()
             codes = Postcodes(b.column("postcode").to_pylist())
-            signature = linker.signatures(_spelt(names, pa.Table.from_batches([b])), codes).astype(np.uint64)
+            signature = linker.signatures(linker.spellings(pa.Table.from_batches([b]))[0], codes).astype(np.uint64)
             day = b.column("dob").to_numpy(zero_copy_only=False).astype(np.uint64)
             for k in range(bands):
                 key = day * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
@@ -47,36 +45,36 @@ def _to_buckets(nicknames, bands: int, rows: int):
     return run
 
 
+def _cells(buckets: DataFrame, most: int) -> DataFrame:
+    """The buckets, those of more than ``most`` rows as cells: of k parts, part i goes to the cells (i, j) and (j, i), so any
+    two rows of the bucket meet, and a cell has some 2 ``most`` rows at most. Sizes are counted map-side."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    sizes, seen = measured(sizes, large=F.count("*"))
+    if not seen["large"]:
+        return buckets
+    sizes = F.broadcast(sizes) if seen["large"] <= MOST_BROADCAST else sizes
+    own = F.pmod(F.xxhash64("v"), "k").cast("int")
+    cell = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
+    columns = [c for c in buckets.columns if c != "bucket"]
+    cut = buckets.join(sizes, "bucket").select(F.explode(cell).alias("bucket"), *columns)
+    return buckets.join(sizes, "bucket", "left_anti").select("bucket", *columns).unionByName(cut)
+
+
 def _verified(nicknames, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(nicknames, bands, rows)
         linker = Linker(names)
-
-        def links(t: pa.Table) -> pa.RecordBatch:
+        for t in whole_groups(batches, "bucket"):
             names.trim()
             _, group = np.unique(t.column("bucket").to_numpy(), return_inverse=True)
             group = group * 200_000_000 + t.column("dob").to_numpy()  # a bucket's hash may be of two days
-            codes, spelt = Postcodes(t.column("postcode").to_pylist()), _spelt(names, t)
-            left, right = candidates(np.zeros((t.num_rows, rows), np.uint32), group, codes, t.column("sex").to_numpy().astype(np.int8), 1, rows, spelt)
+            codes, spelt = Postcodes(t.column("postcode").to_pylist()), linker.spellings(t)[1]
+            left, right = candidates(np.zeros((t.num_rows, rows), np.uint32), group, codes, t.column("sex").to_numpy().astype(np.int8), 1, rows)
             v, code = t.column("v").to_pylist(), codes.codes
-            found = [(v[a], v[b], s, kind == "open", code[a], code[b]) for (a, b), (s, kind) in linker.verified(left, right, spelt, codes).items()]
+            found = [(v[a], v[b], s, is_open, code[a], code[b]) for (a, b), (s, is_open) in linker.verified(left, right, spelt, codes).items()]
             found = [x if x[0] < x[1] else (x[1], x[0], x[2], x[3], x[5], x[4]) for x in found]
             columns = list(zip(*found)) or [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.string()))], ["a", "b", "s", "open", "code_a", "code_b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(h.num_rows for h in held) < 20_000:
-                continue
-            t = pa.Table.from_batches(held)
-            bucket = t.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            if cut:
-                yield links(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-        if held:
-            yield links(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.string()))], ["a", "b", "s", "open", "code_a", "code_b"])
 
     return run
 
@@ -127,22 +125,23 @@ def _stars(links: DataFrame, vertices: DataFrame, max_rounds: int = 1000) -> Dat
     return choice.select("v", (-F.col("best.col2")).alias("centre")).unionByName(centres.select(F.col("n").alias("v"), F.col("n").alias("centre")))
 
 
-def crowded_pairs(rows_in: DataFrame, nicknames: list[tuple[str, str]], bands: int, rows: int) -> DataFrame:
-    """``id_a, id_b`` of the rows (id, dob, forename, middlename, surname, sex, postcode), as name_variants has them."""
+def crowded_persons(rows_in: DataFrame, nicknames: list[tuple[str, str]], bands: int, rows: int, bucket_rows: int | None = None) -> DataFrame:
+    """``person, name, id`` of the rows (id, dob, forename, middlename, surname, sex, postcode), as name_variants has them."""
     plain = lambda c: F.coalesce(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""), F.lit(""))
     f, m = plain("forename"), plain("middlename")
     keyed = rows_in.withColumn("key", F.struct(F.least(f, m).alias("a"), F.greatest(f, m).alias("b"), plain("surname").alias("c")))
     spellings = keyed.groupBy("dob", "key", "postcode", "sex").agg(F.min("id").alias("v"), F.count("*").alias("weight"), F.min(F.struct("id", "forename", "middlename", "surname")).alias("one"))
-    spellings = materialise(spellings.select("v", "weight", "dob", "key", "one.forename", "one.middlename", "one.surname", "sex", "postcode"))
-    parts = parallelism(rows_in.sparkSession, bands * spellings.count())
+    spellings, seen = measured(spellings.select("v", "weight", "dob", "key", "one.forename", "one.middlename", "one.surname", "sex", "postcode"), n=F.count("*"))
     vertices = spellings.drop("key").select(*[F.col(c.split()[0]) for c in VERTEX.split(", ")])
-    buckets = vertices.mapInArrow(_to_buckets(nicknames, bands, rows), "bucket long, " + VERTEX).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = buckets.mapInArrow(_verified(nicknames, bands, rows), "a long, b long, s double, open boolean, code_a string, code_b string")
-    links = materialise(_settled(materialise(found.distinct())))
-    stars = _stars(links, vertices)
-    members = materialise(stars.join(spellings.select("v", "dob", "key", "postcode", "sex"), "v").select("centre", "dob", "key", "postcode", "sex"))
-    names = members.select("centre", "key").distinct()
-    pairs = names.withColumnRenamed("key", "ka").join(names.withColumnRenamed("key", "kb"), "centre").where("ka < kb")
-    people = keyed.join(members, ["dob", "key", "postcode", "sex"]).select("centre", "key", "id")
-    a, b = people.select("centre", F.col("key").alias("ka"), F.col("id").alias("ia")), people.select("centre", F.col("key").alias("kb"), F.col("id").alias("ib"))
-    return pairs.join(a, ["centre", "ka"]).join(b, ["centre", "kb"]).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    buckets = materialise(vertices.mapInArrow(_to_buckets(nicknames, bands, rows), "bucket long, " + VERTEX))
+    cells = _cells(buckets, bucket_rows or BUCKET_ROWS).repartition(parallelism(rows_in.sparkSession, bands * (seen["n"] or 0)), "bucket").sortWithinPartitions("bucket")
+    found = materialise(cells.mapInArrow(_verified(nicknames, bands, rows), "a long, b long, s double, open boolean, code_a string, code_b string").distinct())
+    discard(buckets)
+    links = materialise(_settled(found))
+    discard(found)
+    members = _stars(links, vertices).join(spellings.select("v", "dob", "key", "postcode", "sex"), "v").select("centre", "dob", "key", "postcode", "sex")
+    members = materialise(members)
+    discard(links)
+    several = members.select("centre", "key").distinct().groupBy("centre").count().where("count > 1").select("centre")
+    people = keyed.join(members.join(several, "centre", "left_semi"), ["dob", "key", "postcode", "sex"])
+    return people.select(F.col("centre").alias("person"), F.xxhash64("key").alias("name"), "id")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,35 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import jaro_winkler, one_edit
-from ..runtime import parallelism, ship
+from ..runtime import materialise, measured, parallelism, ship
 
 #: Words before or after a name that are no part of it.
 TITLES = frozenset("mr mrs ms miss mx dr prof rev revd sir dame lady lord mstr master jr sr".split())
-#: Familiar forms of given names, besides those a caller gives.
-FAMILIAR = """
-abigail abby gail; agnes nessie; albert bertie; alexander alex sasha xander lex; alexandra alex sasha sandy; alfred alf alfie fred; amanda mandy;
-andrew andie; angela angie; ann annie nan nancy; anthony tony; arthur art artie; barbara babs barb; beatrix trixie beattie; benjamin benny benjy;
-bridget biddy bridie; caroline carrie caro lina; catherine cat kathy kit kitty katie kay; cecilia cissy celia; charles charlie chaz; charlotte lotte carlotta;
-christine chrissie; christopher kit topher chrissy; clarence clarrie; constance connie; daniel danl; david dave davy; deborah debbie deb; donald don donnie;
-dorothy dot dora dodie; edmund ed eddie; edward ed eddie teddy; eleanor nell nellie ella lena; elizabeth betty bess bessie lizzie betsy lisbeth elsie lisa;
-ernest ernie; eugene gene; florence flossie florrie; frances fran frankie francie; francis frank; frederick freddy; gabrielle gaby elle; george georgie;
-gerald gerry; gertrude gertie trudy; gregory greg; harold harry hal; harriet hattie harrie; helen nell nellie; henry harry hal hank; hubert bert; isabella izzy belle isa;
-jacqueline jackie; james jimmy jem; jane janey jenny; janet jan; jennifer jenny; jeremy jerry; joan joanie; john jack johnny jock; jonathan jonny nathan johnny;
-joseph jo jos; josephine jojo josey; joshua josh; judith judy; katherine kathy kate katie kit kitty; kenneth ken kenny; laura laurie; lawrence laurie lars;
-leonard len leo; lewis lew; louis lou; louisa lou; lucy lu; magdalene lena; margaret maggie mags greta daisy margie rita; martha mattie patty; mary molly polly may;
-matilda tilly tilda maud; matthew matt matty; michael mike mikey mickey; mildred millie; millicent millie; nathaniel nat nate; nicholas nicky nico klaus; oliver ollie noll;
-pamela pam; patricia tricia trish patty; patrick paddy; penelope pen nell; peter pete; philip phil pip; philippa pip; rachel rae; raymond ray; rebecca becky beck;
-richard dick ricky dickie; robert bobby robin robbie bert; roger rodge; ronald ron ronnie; rosemary rose romy; rupert bert; samantha sammie sammy; samuel saml;
-sarah sally sadie; sebastian seb; sidney sid; sophia sophie; stanley stan; stephen steve stevie; susan susie sukey suzy; terence terry; theodora thea dory;
-theodore ted teddy; theresa terry tess; thomas thos tam; timothy tim timmy; ursula ursie; valerie val; vera vee; victor vic; victoria tori vicki; vincent vince vinnie;
-virginia ginny; walter wally walt; wilfred wilf; william bill liam willie; winifred freda win; zachary zac zack
-"""
 ROWS_PER_BAND = 2
 LIKELY_SIMILARITY, RECALL = 0.36, 0.97
 POSTCODE_WEIGHT = 4
 SMALL_RUN = 24
 ROWS_OF_A_DAY = 200_000
+ROWS_OF_A_TASK = 100_000
 BATCH_ROWS = 20_000
+MOST_BROADCAST = 100_000
 MAX_NICKNAMES = 100_000
 SAME, NEAR, OPEN = 0.82, 0.88, 0.9
 #: Words are alike from this Jaro-Winkler similarity on (which takes a Jaro similarity of 0.73); others get a fixed low one.
@@ -86,9 +69,6 @@ class Names:
 
     def __init__(self, nicknames: list[tuple[str, str]], bands: int = BANDS, rows: int = ROWS_PER_BAND) -> None:
         self.full: dict[str, set[str]] = defaultdict(set)
-        for full, *shorts in (x.split() for x in FAMILIAR.split(";")):
-            for short in shorts:
-                self.full[short].add(full)
         for short, full in nicknames:
             self.full[short.lower()].add(full.lower())
         draw = np.random.default_rng(20_240_111)
@@ -97,10 +77,13 @@ class Names:
         self.b = draw.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
         self.parts_of: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.signature_of: dict[str, np.ndarray] = {}
+        self.field_of: dict[str, np.ndarray] = {}
+        self.letters_of: dict[str, int] = {}
         self.similar: dict[tuple[str, str], float] = {}
+        self.name_similar: dict[tuple[Spelling, Spelling, float, bool], float] = {}
 
     def trim(self, most: int = 300_000) -> None:
-        for known in (self.parts_of, self.signature_of, self.similar):
+        for known in (self.parts_of, self.signature_of, self.field_of, self.letters_of, self.similar, self.name_similar):
             if len(known) > most:
                 known.clear()
 
@@ -125,15 +108,32 @@ class Names:
             got = self.signature_of[word] = self.hashes(grams).min(axis=0).astype(np.uint32)
         return got
 
-    def words(self, fields: tuple[str | None, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    def field_signature(self, field: str) -> np.ndarray:
+        """The minima over a field's words, the field with its words run together, and the full forms of these."""
+        got = self.field_of.get(field)
+        if got is None:
+            words = self.parts(field)[1]
+            elements = {x for w in (*words, "".join(words)) for x in (w, *self.full.get(w, ()))}
+            got = self.field_of[field] = np.stack([self.signature(e) for e in elements]).min(axis=0)
+        return got
+
+    def words(self, fields: tuple[str | None, ...]) -> Spelling:
         """The words of a name, each once, and its fields with their words run together."""
-        parts = [self.parts(f) for f in fields]
-        split = tuple(dict.fromkeys(w for _, ws in parts for w in ws))
-        joined = tuple(dict.fromkeys("".join(ws) for _, ws in parts if ws))
-        return split, joined
+        parts = [self.parts(f)[1] for f in fields]
+        return tuple(dict.fromkeys(w for ws in parts for w in ws)), tuple(dict.fromkeys("".join(ws) for ws in parts if ws))
 
-    def elements(self, words: tuple[str, ...], joined: tuple[str, ...]) -> set[str]:
-        return {x for w in (*words, *joined) for x in (w, *self.full.get(w, ()))}
+    def letters(self, word: str) -> int:
+        """A bit for each letter's first, second, ... occurrence: bits in common are letters in common, or a few more."""
+        got = self.letters_of.get(word)
+        if got is None:
+            seen: dict[int, int] = defaultdict(int)
+            got = 0
+            for c in word:
+                at = ord(c) & 31
+                got |= 1 << (at + 32 * seen[at])
+                seen[at] += 1
+            self.letters_of[word] = got
+        return got
 
     def word_similarity(self, a: str, b: str) -> float:
         if a == b:
@@ -147,16 +147,19 @@ class Names:
     def _word_similarity(self, short: str, long: str) -> float:
         if len(short) == 1:
             return 0.86 if long[0] == short else 0.0
-        fa, fb = self.full.get(short, set()) | {short}, self.full.get(long, set()) | {long}
-        if fa & fb:
+        fa, fb = self.full.get(short), self.full.get(long)
+        forms = [(x, y) for x in {short, *(fa or ())} for y in {long, *(fb or ())}] if fa or fb else []
+        if any(x == y for x, y in forms):
             return 0.96
-        common = sum(min(short.count(c), long.count(c)) for c in set(short))
+        common = (self.letters(short) & self.letters(long)).bit_count()
         possible = (common / len(short) + common / len(long) + 1) / 3  # Jaro cannot be more
         s = jaro_winkler(short, long) if possible >= 0.73 else 0.0
-        if one_edit(short, long) and len(long) > 3:
+        if common >= len(long) - 1 and len(long) > 3 and one_edit(short, long):
             s = max(s, 0.93)
-        if any(x != short and (x == long or one_edit(x, long)) or y != long and one_edit(y, short) and len(y) > 3 for x in fa for y in fb):
+        if any(x != short and (x == long or one_edit(x, long)) or y != long and one_edit(y, short) and len(y) > 3 for x, y in forms):
             return max(s, 0.9)
+        if common < min(3, len(short)):
+            return s if s >= ALIKE else UNLIKE
         if len(short) >= 3 and long.startswith(short):
             return max(s, 0.9)
         pet = short[:-1] if short[-1:] == "y" else short[:-2] if short[-2:] == "ie" else short
@@ -169,23 +172,34 @@ class Names:
                 return max(s, 0.86)
         return s if s >= ALIKE else UNLIKE
 
-    def monge_elkan(self, a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    def monge_elkan(self, a: tuple[str, ...], b: tuple[str, ...], least: float = 0.0) -> float:
         """Mean, over the words of the name with fewer words (of both, if they have as many), of the best similarity to a
-        word of the other name."""
+        word of the other name; 0 as soon as it cannot reach ``least``."""
         if len(a) > len(b):
             a, b = b, a
         if not a:
             return 0.0
-        best = sum(max(self.word_similarity(x, y) for y in b) for x in a) / len(a)
-        return best if len(a) < len(b) or best == 1.0 else (best + sum(max(self.word_similarity(x, y) for x in a) for y in b) / len(b)) / 2
-
-    def name_similarity(self, a: Spelling, b: Spelling, strict: bool) -> float:
+        similar, n = self.word_similarity, len(a)
+        most = 2 * n if n == len(b) else n  # as if all words to come were equal to one of the other name
+        lost, may_lose = 0.0, most * (1 - least) + 1e-9
+        for x, others in [(x, b) for x in a] + [(y, a) for y in b] * (n == len(b)):
+            if x not in others:
+                lost += 1 - max(similar(x, y) for y in others)
+                if lost > may_lose:
+                    return 0.0
+        return 1 - lost / most
+
+    def name_similarity(self, a: Spelling, b: Spelling, strict: bool, least: float = 0.0) -> float:
         """Of the words or of the fields run together; unless ``strict``, also of the words of one with the fields of the other."""
-        best = self.monge_elkan(a[0], b[0])
-        if best < 0.999 and (a[0] != a[1] or b[0] != b[1]):
-            best = max(best, self.monge_elkan(a[1], b[1]))
-            if not strict:
-                best = max(best, self.monge_elkan(a[0], b[1]), self.monge_elkan(a[1], b[0]))
+        key = (a, b, least, strict) if a <= b else (b, a, least, strict)
+        best = self.name_similar.get(key)
+        if best is None:
+            best = self.monge_elkan(a[0], b[0], least)
+            if best < 0.999 and (a[0] != a[1] or b[0] != b[1]):
+                best = max(best, self.monge_elkan(a[1], b[1], least))
+                if not strict:
+                    best = max(best, self.monge_elkan(a[0], b[1], least), self.monge_elkan(a[1], b[0], least))
+            self.name_similar[key] = best
         return best
 
 
@@ -224,14 +238,18 @@ class Postcodes:
         shifted = np.abs(self.length[i] - self.length[j]) == 1
         return ~both | (differ <= 2) | shifted
 
-    def relation(self, i: int, j: int) -> str | None:
-        a, b = self.codes[i], self.codes[j]
-        if self.full[i] and self.full[j]:
-            return "same" if a == b else "near" if one_edit(a, b) else None
-        if a and b:
-            short, other = (a, b) if len(a) <= len(b) else (b, a)
-            return "open" if other.startswith(short) else None
-        return "open"
+    def relations(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of each pair: 3 the same, 2 one edit apart, 1 open (one of them unknown, or the start of the other), 0 neither."""
+        out = np.ones(len(i), np.int8)
+        full = self.full[i] & self.full[j]
+        equal = full & (self.hash[i] == self.hash[j])
+        out[equal] = 3
+        codes = self.codes
+        at = np.flatnonzero(full & ~equal)
+        out[at] = [2 * one_edit(codes[a], codes[b]) for a, b in zip(i[at].tolist(), j[at].tolist())]
+        at = np.flatnonzero(~full & (self.length[i] > 0) & (self.length[j] > 0))
+        out[at] = [codes[a].startswith(codes[b]) or codes[b].startswith(codes[a]) for a, b in zip(i[at].tolist(), j[at].tolist())]
+        return out
 
     def by_code(self, members: np.ndarray) -> list[tuple[str, np.ndarray]]:
         """The members by their code."""
@@ -255,7 +273,7 @@ class Postcodes:
         return np.array(at, np.int64), np.array(key, np.int64)
 
 
-def candidates(signature: np.ndarray, group: np.ndarray, codes: Postcodes, sex: np.ndarray, bands: int, rows: int, spelt: list[Spelling]) -> tuple[np.ndarray, np.ndarray]:
+def candidates(signature: np.ndarray, group: np.ndarray, codes: Postcodes, sex: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that share a band within a group and do not contradict each other in postcode and sex.
 
     A small run of one band gives all its pairs. In a larger one, full postcodes meet by their variants, and those that
@@ -309,11 +327,11 @@ def star_clusters(n: int, links: list[tuple[int, int, float]], weight: list[int]
     return [v if v not in near or centre[v] == -1 else max(((s, -name[c], c) for c, s in near[v].items() if centre[c] == -1), default=(0, 0, v))[2] for v in range(n)]
 
 
-def _settle(links: dict[tuple[int, int], tuple[float, str]], codes: Postcodes) -> list[tuple[int, int, float]]:
+def _settle(links: dict[tuple[int, int], tuple[float, bool]], codes: Postcodes) -> list[tuple[int, int, float]]:
     """Links kept of vertices without a full postcode: those to the postcode they are clearly most similar to, if any."""
     open_at: dict[int, dict[int, float]] = defaultdict(dict)
-    for (a, b), (s, kind) in links.items():
-        if kind == "open":
+    for (a, b), (s, is_open) in links.items():
+        if is_open:
             for x, y in ((a, b), (b, a)):
                 if not codes.full[x] and codes.full[y]:
                     open_at[x][y] = s
@@ -337,127 +355,157 @@ class Linker:
     def __init__(self, names: Names) -> None:
         self.names = names
 
-    def signatures(self, spelt: list[Spelling], codes: Postcodes) -> np.ndarray:
+    def signatures(self, fields: list[tuple[np.ndarray, list[str | None]]], codes: Postcodes) -> np.ndarray:
+        """Minima of each row, of ``fields`` (which value each row has, and the values) and the full postcodes."""
         names = self.names
-        elements = [names.elements(*w) for w in spelt]
-        index: dict[str, int] = {}
-        flat = np.array([index.setdefault(e, len(index)) for es in elements for e in (es or ("",))], np.int64)
-        counts = np.array([max(1, len(es)) for es in elements], np.int64)
-        by_word = np.stack([names.signature(w) for w in index])
-        signature = np.minimum.reduceat(by_word[flat], np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0)
+        nothing = np.full(names.bands * names.rows, np.iinfo(np.uint32).max, np.uint32)
+        signature = np.tile(nothing, (len(codes.codes), 1))
+        for at, values in fields:
+            by_value = np.stack([names.field_signature(v) if v and names.parts(v)[1] else nothing for v in values])
+            np.minimum(signature, by_value[at], out=signature)
+        signature[(signature == nothing).all(axis=1)] = names.signature("")
         whole = np.flatnonzero(codes.full)
         for w in range(POSTCODE_WEIGHT):
             h = names.hashes(codes.hash[whole] + np.uint64(w * 0x9E3779B9)).astype(np.uint32)
             signature[whole] = np.minimum(signature[whole], h)
         return signature
 
-    def verified(self, left: np.ndarray, right: np.ndarray, spelt: list[Spelling], codes: Postcodes) -> dict[tuple[int, int], tuple[float, str]]:
-        """Similarity and relation of the postcodes of those pairs whose names are similar enough for that relation."""
-        links: dict[tuple[int, int], tuple[float, str]] = {}
-        for a, b in zip(left.tolist(), right.tolist()):
-            kind = codes.relation(a, b)
-            if kind is None:
-                continue
-            s = self.names.name_similarity(spelt[a], spelt[b], kind == "open")
-            if min(len(spelt[a][0]), len(spelt[b][0])) < 2:
-                s -= 0.15
-            if s >= (SAME if kind == "same" else NEAR if kind == "near" else OPEN):
-                links[a, b] = (s, kind)
+    def verified(self, left: np.ndarray, right: np.ndarray, spelt: Callable[[int], Spelling], codes: Postcodes) -> dict[tuple[int, int], tuple[float, bool]]:
+        """Similarity, and whether a postcode is open, of those pairs whose names are similar enough for their postcodes' relation."""
+        links: dict[tuple[int, int], tuple[float, bool]] = {}
+        relation = codes.relations(left, right)
+        at = np.flatnonzero(relation)
+        least = (0.0, OPEN, NEAR, SAME)
+        for a, b, kind in zip(left[at].tolist(), right[at].tolist(), relation[at].tolist()):
+            x, y = spelt(a), spelt(b)
+            short = 0.15 if len(x[0]) < 2 or len(y[0]) < 2 else 0.0
+            s = self.names.name_similarity(x, y, kind == 1, least[kind] + short) - short
+            if s >= least[kind]:
+                links[a, b] = (s, kind == 1)
         return links
 
-    def pairs(self, table: pa.Table) -> Iterator[tuple[list[int], list[int]]]:
+    def spellings(self, table: pa.Table) -> tuple[list[tuple[np.ndarray, list[str | None]]], Callable[[int], Spelling], np.ndarray]:
+        """Of the rows' names: which value each row has in each field, and the values; what gives a row's words; and a
+        number for the letters and digits of (forename, middlename) in order and of the surname, equal where those are."""
+        names, n = self.names, table.num_rows
+        coded = pa.chunked_array([c for f in ("forename", "middlename", "surname") for c in table.column(f).chunks], pa.string()).combine_chunks().dictionary_encode(null_encoding="encode")
+        values, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().reshape(3, n)
+        number: dict[str, int] = {}
+        clean = np.array([number.setdefault(names.parts(v)[0], len(number)) for v in values], np.int64)[at]
+        names_of = np.unique(np.minimum(clean[0], clean[1]) * len(number) + np.maximum(clean[0], clean[1]), return_inverse=True)[1] * len(number) + clean[2]
+        known: dict[tuple[int, int, int], Spelling] = {}
+        f, m, s = at.tolist()
+
+        def spelt(i: int) -> Spelling:
+            k = (f[i], m[i], s[i])
+            got = known.get(k)
+            if got is None:
+                got = known[k] = names.words(tuple(values[x] for x in k))
+            return got
+
+        return [(x, values) for x in at], spelt, names_of
+
+    def persons(self, table: pa.Table) -> pa.RecordBatch | None:
+        """``person, name, id`` of the rows of those persons who have several names; a person's number is the smallest id of
+        the star's centre. ``table`` is sorted by id within its dates."""
         names = self.names
         names.trim()
-        vertex: dict[tuple, int] = {}
-        rows_of: list[list[int]] = []
-        spelt: list[Spelling] = []
-        rows = zip(*(table.column(c).to_pylist() for c in ("dob", "forename", "middlename", "surname", "sex", "postcode", "id")))
-        for d, f, m, s, x, p, i in rows:
-            cf, cm, cs = names.parts(f)[0], names.parts(m)[0], names.parts(s)[0]
-            k = (d, *((cf, cm) if cf <= cm else (cm, cf)), cs, p or "", x)
-            at = vertex.get(k)
-            if at is None:
-                vertex[k] = len(rows_of)
-                rows_of.append([i])
-                spelt.append(names.words((f, m, s)))
-            else:
-                rows_of[at].append(i)
-        keys = list(vertex)
-        n = len(keys)
+        fields, spelt, name = self.spellings(table)
+        day = table.column("dob").to_numpy()
+        postcode = table.column("postcode").combine_chunks().dictionary_encode()
+        sex = table.column("sex").to_numpy().astype(np.int8)
+        spelling = np.unique(name * 3 + sex, return_inverse=True)[1] * len(postcode.dictionary) + postcode.indices.to_numpy()
+        _, spelling = np.unique(spelling, return_inverse=True)
+        _, first, vertex = np.unique(np.unique(day, return_inverse=True)[1] * (spelling.max(initial=0) + 1) + spelling, return_index=True, return_inverse=True)
+        n = len(first)
         if n < 2:
-            return
-        group = np.array([k[0] for k in keys], np.int64)
-        sex = np.array([k[5] for k in keys], np.int8)
-        codes = Postcodes([k[4] for k in keys])
-        signature = self.signatures(spelt, codes)
-        left, right = candidates(signature, group, codes, sex, names.bands, names.rows, spelt)
-        links = self.verified(left, right, spelt, codes)
-        least = [min(r) for r in rows_of]
-        centre = star_clusters(n, _settle(links, codes), [len(r) for r in rows_of], least)
-        persons: dict[int, list[int]] = defaultdict(list)
-        for v, c in enumerate(centre):
-            persons[c].append(v)
-        for members in persons.values():
-            if len(members) > 1:
-                for x, a in enumerate(members):
-                    for b in members[x + 1 :]:
-                        if keys[a][1:4] != keys[b][1:4]:
-                            for i in rows_of[a]:
-                                yield [i] * len(rows_of[b]), rows_of[b]
+            return None
+        codes = Postcodes(postcode.take(pa.array(first)).to_pylist())
+        signature = self.signatures([(at[first], values) for at, values in fields], codes)
+        left, right = candidates(signature, day[first].astype(np.int64), codes, sex[first], names.bands, names.rows)
+        at = first.tolist()
+        links = self.verified(left, right, lambda v: spelt(at[v]), codes)
+        if not links:
+            return None
+        ids = table.column("id").to_numpy()
+        centre = np.array(star_clusters(n, _settle(links, codes), np.bincount(vertex, minlength=n).tolist(), ids[first].tolist()), np.int64)
+        kinds = np.unique(np.stack([centre, name[first]]), axis=1)[0]
+        several = np.bincount(kinds, minlength=n) > 1
+        rows = np.flatnonzero(several[centre[vertex]])
+        return pa.RecordBatch.from_arrays([pa.array(ids[first][centre[vertex[rows]]]), pa.array(name[rows].astype(np.int64)), pa.array(ids[rows])], ["person", "name", "id"]) if len(rows) else None
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int = BATCH_ROWS) -> Iterator[pa.Table]:
+    """The batches, which are sorted by ``column``, in tables of some ``rows`` that part no group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(h.num_rows for h in held) < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        key = t.column(column).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _link(nicknames: list[tuple[str, str]], bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linker = Linker(Names(nicknames, bands, rows))
-        a: list[int] = []
-        b: list[int] = []
-
-        def out() -> pa.RecordBatch:
-            x, y = np.array(a, np.int64), np.array(b, np.int64)
-            a.clear()
-            b.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["id_a", "id_b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(h.num_rows for h in held) < BATCH_ROWS:
-                continue
-            t = pa.Table.from_batches(held)
-            dob = t.column("dob").to_numpy()
-            cut = int(np.searchsorted(dob, dob[-1]))
-            if cut:
-                for x, y in linker.pairs(t.slice(0, cut)):
-                    a += x
-                    b += y
-                    if len(a) > BATCH_ROWS:
-                        yield out()
-            held = t.slice(cut).to_batches()
-        if held:
-            for x, y in linker.pairs(pa.Table.from_batches(held)):
-                a += x
-                b += y
-                if len(a) > BATCH_ROWS:
-                    yield out()
-        yield out()
+        for t in whole_groups(batches, "dob"):
+            made = linker.persons(t)
+            if made is not None:
+                yield made
 
     return run
 
 
-def name_variants(df: DataFrame, nicknames: DataFrame, id_col: str = "id", bands: int = BANDS, rows: int = ROWS_PER_BAND, rows_of_a_day: int = ROWS_OF_A_DAY) -> DataFrame:
-    """``id_a < id_b``: rows of one person whose names differ in letters or digits (forename and middlename exchanged is no difference).
+def learned_forms(rows: DataFrame) -> DataFrame:
+    """``short, full``: first names that one person is known by, learned from the rows (dob, postcode, surname, forename).
+
+    Where just two rows share birth, full postcode and surname and differ in first name (of one word), they are one
+    person's or two kin's. Kin's names meet as chance has it; a familiar form meets its full form in most cases. So two names belong
+    together if half of all such meetings of the rarer one are with the other, and at least three, and one in 100,000 of
+    all meetings (so there are at most 100,000 forms). Names within two edits of each other, or of which one begins with
+    the other, are left to the similarity of words. Only hashes are shuffled, and groups are counted map-side.
+    """
+    surname = F.regexp_replace("surname", r"[^\p{L}]", "")
+    names = rows.where(F.col("forename").rlike(r"^\s*\p{L}{2,}\s*$")).select(F.trim("forename").alias("f"), surname.alias("s"), "dob", "postcode").where("length(s) > 1 and length(postcode) > 4")
+    h = F.xxhash64("f")
+    two = names.groupBy(F.xxhash64("dob", "postcode", "s").alias("k")).agg(F.min(h).alias("x"), F.max(h).alias("y"), F.count("*").alias("n")).where("n = 2 and x <> y")
+    met = materialise(two.groupBy("x", "y").agg(F.count("*").alias("n")))
+    of = met.select(F.col("x").alias("h"), "n").unionByName(met.select(F.col("y").alias("h"), "n")).groupBy("h").agg(F.sum("n").alias("m"))
+    total = met.agg(F.sum("n").alias("total"))  # one row
+    often = met.crossJoin(F.broadcast(total)).where("n >= 3 and n * 100000 >= total").select("x", "y", "n")
+    both = often.join(of.select(F.col("h").alias("x"), F.col("m").alias("mx")), "x").join(of.select(F.col("h").alias("y"), F.col("m").alias("my")), "y").where(2 * F.col("n") >= F.least("mx", "my"))
+    both = materialise(both.select(F.when(F.col("mx") < F.col("my"), F.col("x")).otherwise(F.col("y")).alias("short_h"), F.when(F.col("mx") < F.col("my"), F.col("y")).otherwise(F.col("x")).alias("full_h")))
+    wanted = both.select(F.col("short_h").alias("h")).unionByName(both.select(F.col("full_h").alias("h"))).distinct()  # at most 200,000
+    spelt = materialise(names.select("f", h.alias("h")).join(F.broadcast(wanted), "h").distinct())
+    found = both.join(spelt.select(F.col("h").alias("short_h"), F.col("f").alias("short")), "short_h").join(spelt.select(F.col("h").alias("full_h"), F.col("f").alias("full")), "full_h")
+    alike = F.startswith("short", "full") | F.startswith("full", "short") | (F.levenshtein("short", "full") <= 2)
+    return found.where(~alike).select("short", "full")
+
+
+def name_variants(df: DataFrame, nicknames: DataFrame, id_col: str = "id", bands: int = BANDS, rows: int = ROWS_PER_BAND, rows_of_a_day: int = ROWS_OF_A_DAY, learn: bool = True) -> DataFrame:
+    """``person, name, id``: the rows of each person who has several names, with numbers of the person and the name.
 
     ``df`` has forename, middlename, surname, dob, sex and postcode as strings. Rows without a date of birth of eight
     digits, or with a null id, are linked to none; missing names, sexes and postcodes contradict nothing; equal rows are
-    one spelling and each of them is paired; texts of any length are used whole; an empty table has no pairs.
+    one spelling; texts of any length are used whole; an empty table has no persons. Names that differ in more than white
+    space, case, punctuation and the order of forename and middlename have different numbers within a person. Familiar
+    forms are those of ``nicknames`` and, with ``learn``, those :func:`learned_forms` finds.
 
     A date's rows are linked within one task, as a stream of dates. A date with more than ``rows_of_a_day`` rows (a default
     that stands for "unknown", say) is split: its spellings are shuffled by band instead, and stars are found by rounds of
     joins. Both ways give the same links.
     """
-    from .crowded_days import crowded_pairs
+    from .crowded_days import crowded_persons
 
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     short = nicknames.where("short_name is not null and full_name is not null").select("short_name", "full_name").limit(MAX_NICKNAMES + 1).collect()
     if len(short) > MAX_NICKNAMES:
         raise ValueError(f"more than {MAX_NICKNAMES} nicknames")
@@ -466,9 +514,22 @@ def name_variants(df: DataFrame, nicknames: DataFrame, id_col: str = "id", bands
     code = F.coalesce(F.regexp_replace(F.upper("postcode"), "[^A-Z0-9]", ""), F.lit("")).alias("postcode")
     rows_in = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), plain_date(F.col("dob")).alias("dob"), *low, sex_code(F.col("sex")).alias("sex"), code)
     rows_in = rows_in.where("dob is not null")
-    parts = parallelism(df.sparkSession)
-    days = df.groupBy(F.col("dob").alias("written")).count().groupBy(plain_date(F.col("written")).alias("day")).agg(F.sum("count").alias("n"))
-    crowded = [r.day for r in days.where(F.col("day").isNotNull() & (F.col("n") > rows_of_a_day)).collect()]  # at most rows / rows_of_a_day, and as many as there are days
-    usual = rows_in.where(~F.col("dob").isin(crowded)) if crowded else rows_in
-    found = usual.repartition(parts, "dob").sortWithinPartitions("dob").mapInArrow(_link(given, bands, rows), "id_a long, id_b long")
-    return found.unionByName(crowded_pairs(rows_in.where(F.col("dob").isin(crowded)), given, bands, rows)) if crowded else found
+    if learn:
+        given += [(r.short, r.full) for r in learned_forms(rows_in).collect()]  # at most 100,000
+    days = df.groupBy(F.col("dob").alias("written")).count().groupBy(plain_date(F.col("written")).alias("dob")).agg(F.sum("count").alias("n")).where("dob is not null")
+    days, seen = measured(days, rows=F.sum("n"), crowded=F.count_if(F.col("n") > rows_of_a_day))
+    usual, crowded = rows_in, None
+    if seen["crowded"]:
+        many = days.where(F.col("n") > rows_of_a_day).select("dob")
+        many = F.broadcast(many) if seen["crowded"] <= MOST_BROADCAST else many
+        usual, crowded = rows_in.join(many, "dob", "left_anti"), rows_in.join(many, "dob", "left_semi")
+    parts = parallelism(spark, seen["rows"] or 0, ROWS_OF_A_TASK)
+    found = usual.repartition(parts, "dob").sortWithinPartitions("dob", "id").mapInArrow(_link(given, bands, rows), "person long, name long, id long")
+    return found.unionByName(crowded_persons(crowded, given, bands, rows)) if crowded is not None else found
+
+
+def variant_pairs(persons: DataFrame) -> DataFrame:
+    """``id_a < id_b``: the pairs of a person's rows, as :func:`name_variants` gives them, that differ in name."""
+    persons = materialise(persons)
+    a, b = (persons.select("person", F.col("name").alias(f"n_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    return a.join(b, "person").where("n_a <> n_b and id_a < id_b").select("id_a", "id_b")

@@ -12,7 +12,7 @@ from .format_duplicates import format_duplicates
 from .group_pairs import group_pairs
 from .lookalikes import visually_identical, visually_identical_groups
 from .mixing import mix_sources, mixing_rates
-from .name_variants import name_variants
+from .name_variants import name_variants, variant_pairs
 from .source_linkage import MATCH, Source, link_sources
 from .tokens import encode_texts
 
@@ -30,7 +30,11 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_variants(table(spark, sf_dir, "df"), table(spark, sf_dir, "nicknames"))
+    return variant_pairs(name_variants(table(spark, sf_dir, "df"), table(spark, sf_dir, "nicknames")))
+
+
+def p4_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants(table(spark, sf_dir, "df"), table(spark, sf_dir, "nicknames")).select("id", F.col("person").alias("person_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,7 @@ def p9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visually_identical_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p6_found, p6_confidence, p7_ids, p8_mix, p8_shares, p8_rates, p9_found, p9_groups)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_persons, p5_found, p6_found, p6_confidence, p7_ids, p8_mix, p8_shares, p8_rates, p9_found, p9_groups)}
 
 _CLEAN = {k: f"coalesce(lower(regexp_replace({k}, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '')" for k in RECORD_FIELDS}
 _CANONICAL = f"""concat_ws(chr(1), {_CLEAN["dob"]}, {_CLEAN["postcode"]}, {_CLEAN["surname"]}, {_CLEAN["sex"]},

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise
 from .label_model import LabelModel
-from .name_variants import FAMILIAR, MAX_NICKNAMES, plain_date
+from .name_variants import MAX_NICKNAMES, plain_date
 
 #: Votes, by their number of levels; level 0 abstains, as an attribute is missing.
 LEVELS = {"first": 6, "last": 5, "born": 5, "place": 5, "common": 3}
@@ -51,9 +51,6 @@ def _familiar(nicknames: DataFrame) -> dict[str, list[str]]:
     if len(rows) > MAX_NICKNAMES:
         raise ValueError(f"more than {MAX_NICKNAMES} nicknames")
     known: dict[str, set[str]] = defaultdict(set)
-    for full, *shorts in (x.split() for x in FAMILIAR.split(";")):
-        for short in shorts:
-            known[short].add(full)
     for short, full in rows:
         known[short].add(full)
     return {s: sorted(f) for s, f in known.items()}

@@ -5,14 +5,14 @@ import numpy as np
 import pytest
 
 from kinweave.llm import name_variants as module
-from kinweave.llm.name_variants import BANDS, Names, bands_for, name_variants, star_clusters
+from kinweave.llm.name_variants import BANDS, Names, bands_for, learned_forms, name_variants, star_clusters, variant_pairs
 
 SCHEMA = "id long, forename string, middlename string, surname string, dob string, sex string, postcode string, vertex string"
 
 
 def run(spark, rows, short=(("Bob", "Robert"),), **kw):
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).repartition(2)
-    return {tuple(r) for r in name_variants(df, spark.createDataFrame(list(short), "short_name string, full_name string") if short else spark.createDataFrame([], "short_name string, full_name string"), **kw).collect()}
+    return {tuple(r) for r in variant_pairs(name_variants(df, spark.createDataFrame(list(short), "short_name string, full_name string"), **kw)).collect()}
 
 
 def person(i, f, m=None, s="Averdale", d="1980-05-06", x="M", p="QA1 2BC"):
@@ -88,6 +88,39 @@ def test_crowded_dates_give_the_same_links(spark):
     assert len(want) > 50 and run(spark, rows, rows_of_a_day=150) == want == run(spark, rows, rows_of_a_day=1)
 
 
+def test_large_buckets_are_cut_into_cells(spark, monkeypatch):
+    import kinweave.llm.crowded_days as crowded
+
+    draw = random.Random(9)
+    rows = [person(i, draw.choice(["Robert", "Robbert", "Rob", "R"]), None, draw.choice(["Averdale", "Averdal"]), "1900-01-01", "M", draw.choice(["QA1 2BC", "QA1 2BD", None, f"QB{i % 9} 1AA"])) for i in range(200)]
+    want = run(spark, rows)
+    monkeypatch.setattr(crowded, "BUCKET_ROWS", 7)
+    assert len(want) > 100 and run(spark, rows, rows_of_a_day=1) == want
+
+
+def test_familiar_forms_are_learned(spark):
+    draw = random.Random(2)
+    rows = []
+    for k in range(300):
+        code, s = f"QA{k:03} 1BC", draw.choice(["Averdale", "Marrowick"])
+        first, other = ("Margaret", "Greta") if k % 10 == 0 else draw.sample(["Edith", "Ivo", "Cordelia", "Harriet", "Margaret", "Amara"], 2)  # a short form, or kin
+        rows += [person(2 * k, first, None, s, f"19{30 + k % 60}-01-0{k % 9 + 1}", None, code), person(2 * k + 1, other, None, s, f"19{30 + k % 60}-01-0{k % 9 + 1}", None, code)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA).selectExpr("lower(forename) as forename", "lower(surname) as surname", "dob", "replace(postcode, ' ', '') as postcode")
+    assert {tuple(r) for r in learned_forms(df).collect()} == {("greta", "margaret")}
+    assert learned_forms(df.limit(0)).count() == 0
+    got = run(spark, rows)
+    assert {(a, b) for a, b in got if rows[b][1] == "Greta"} == {(2 * k, 2 * k + 1) for k in range(0, 300, 10)} and len(got) == 30
+
+
+def test_persons_have_a_row_for_each_record(spark):
+    rows = [person(1, "Robert"), person(2, " ROBERT"), person(3, "Robbert"), person(4, "Edward"), person(5, "Edward")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    got = name_variants(df, spark.createDataFrame([], "short_name string, full_name string")).collect()
+    assert {(r.person, r.id) for r in got} == {(1, 1), (1, 2), (1, 3)} or len({r.person for r in got}) == 1 and {r.id for r in got} == {1, 2, 3}
+    name = {r.id: r.name for r in got}
+    assert name[1] == name[2] != name[3]
+
+
 def test_collision_curve():
     assert BANDS == bands_for(module.LIKELY_SIMILARITY, module.RECALL, module.ROWS_PER_BAND)
     assert 1 - (1 - 0.36**2) ** BANDS >= 0.97 > 1 - (1 - 0.36**2) ** (BANDS - 1)
@@ -112,6 +145,5 @@ def test_the_only_compatible_partner_is_found_among_many():
     """In one run: an outward code behind many postcodes of the name; an unknown one behind many of the other sex."""
     codes = module.Postcodes([f"QA{i:02}1AA" for i in range(40)] + ["QF49XF", "QF4", ""])
     sex = np.array([2] * 40 + [1, 1, 1], np.int8)
-    spelt = [Names([]).words(("frances", None, "averdale"))] * 43
-    left, right = module.candidates(np.zeros((43, 2), np.uint32), np.zeros(43, np.int64), codes, sex, 1, 2, spelt)
+    left, right = module.candidates(np.zeros((43, 2), np.uint32), np.zeros(43, np.int64), codes, sex, 1, 2)
     assert {(40, 41), (40, 42)} <= set(zip(left.tolist(), right.tolist()))
