@@ -469,7 +469,7 @@ def learned_forms(rows: DataFrame) -> DataFrame:
     Where just two rows share birth, full postcode and surname and differ in first name (of one word), they are one
     person's or two kin's. Kin's names meet as chance has it; a familiar form meets its full form in most cases. So two names belong
     together if half of all such meetings of the rarer one are with the other, and at least three, and one in 100,000 of
-    all meetings (so there are at most 100,000 forms). Names within two edits of each other, or of which one begins with
+    all meetings (so there are at most 100,000 forms). Names within one edit of each other, or of which one begins with
     the other, are left to the similarity of words. Only hashes are shuffled, and groups are counted map-side.
     """
     surname = F.regexp_replace("surname", r"[^\p{L}]", "")
@@ -485,7 +485,7 @@ def learned_forms(rows: DataFrame) -> DataFrame:
     wanted = both.select(F.col("short_h").alias("h")).unionByName(both.select(F.col("full_h").alias("h"))).distinct()  # at most 200,000
     spelt = materialise(names.select("f", h.alias("h")).join(F.broadcast(wanted), "h").distinct())
     found = both.join(spelt.select(F.col("h").alias("short_h"), F.col("f").alias("short")), "short_h").join(spelt.select(F.col("h").alias("full_h"), F.col("f").alias("full")), "full_h")
-    alike = F.startswith("short", "full") | F.startswith("full", "short") | (F.levenshtein("short", "full") <= 2)
+    alike = F.startswith("short", "full") | F.startswith("full", "short") | (F.levenshtein("short", "full") <= 1)
     return found.where(~alike).select("short", "full")
 
 
