@@ -1,28 +1,42 @@
 """A generative label model: heuristic votes on pairs, whose accuracies and correlations are learned without labels.
 
 A vote is a level from 1 up, or 0 where the function abstains; abstaining tells nothing. Given the kind of a pair, its
-votes are independent. There is one kind of match and there are several of non-match, each with its own distribution over
-every vote: that is how correlated errors are learned, such as twins, for whom surname, birth and address agree at once.
-Shares and distributions are fitted by expectation-maximisation on the counts of vote patterns, of which there are as
-many as the levels allow, however many pairs were voted on. Where it starts says which kinds there are, no more.
+votes are independent. There is one kind of match and there are several of non-match: that is how correlated errors are
+learned, such as twins, for whom surname, birth and address agree at once. Kinds that compare the same thing by a vote, such
+as the birth of one person, or the first names of two, have its distribution in common; that is what makes the kinds differ
+in more than where they start. Shares and distributions are fitted by expectation-maximisation on the counts of vote
+patterns, of which there are as many as the levels allow, however many pairs were voted on.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Pairs that a starting distribution counts as, and what a level has that starts from 0, however many pairs say otherwise.
+PSEUDO, RARE = 20.0, 0.001
+
 
 class LabelModel:
-    """``start``: for every kind, the match first, a distribution over the levels from 1 up of every vote."""
+    """``start``: for every kind, the match first, a distribution over the levels from 1 up of every vote. ``ties``: for
+    every vote, a number for each kind; kinds with one number have one distribution, which starts from their mean. A level of
+    0 is one that a kind does not have by what it means, such as one birth of two people: it stays at RARE."""
 
-    def __init__(self, start: dict[str, list[list[float]]], shares: list[float], strength: float = 1000.0) -> None:
+    def __init__(self, start: dict[str, list[list[float]]], shares: list[float], ties: list[list[int]] | None = None) -> None:
         self.kinds = list(start)
         self.shares = np.array(shares, float) / sum(shares)
-        self.first_shares = self.shares.copy()
-        self.strength = strength
-        self.tables = [np.array([start[k][v] for k in self.kinds], float) for v in range(len(next(iter(start.values()))))]
-        self.tables = [t / t.sum(axis=1, keepdims=True) for t in self.tables]
-        self.first_tables = [t.copy() for t in self.tables]
+        votes = len(next(iter(start.values())))
+        self.ties = [np.array(t) for t in ties or [list(range(len(self.kinds)))] * votes]
+        given = [np.array([start[k][v] for k in self.kinds], float) for v in range(votes)]
+        self.first = [np.stack([g[t == k].mean(axis=0) for k in range(t.max() + 1)]) for g, t in zip(given, self.ties)]
+        self.never = [g == 0 for g in self.first]
+        self.first = [self._rare(g, never) for g, never in zip(self.first, self.never)]
+        self.tables = [g[t] for g, t in zip(self.first, self.ties)]
+
+    @staticmethod
+    def _rare(table: np.ndarray, never: np.ndarray) -> np.ndarray:
+        table = np.where(never, 0.0, table)
+        table = table / table.sum(axis=1, keepdims=True) * (1 - RARE * never.sum(axis=1, keepdims=True))
+        return np.where(never, RARE, table)
 
     def responsibilities(self, votes: np.ndarray) -> np.ndarray:
         """Probability of every kind, for each pattern."""
@@ -37,20 +51,20 @@ class LabelModel:
         """Probability of a match for each pattern."""
         return self.responsibilities(votes)[:, 0]
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-        """The starting distributions count as ``strength`` pairs in a thousand of each kind's expected pairs, 1 at least."""
+    def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 2000) -> LabelModel:
+        """Until no more than one pair in a million changes its kind."""
         before = None
         for _ in range(rounds):
             weight = self.responsibilities(votes) * counts[:, None]
-            own = weight.sum(axis=0)
-            trust = np.maximum(1.0, own * self.strength / 1000)
-            self.shares = (own + 1) / (own + 1).sum()
-            for v, first in enumerate(self.first_tables):
-                table = first * trust[:, None]
+            self.shares = weight.sum(axis=0) + 1
+            self.shares /= self.shares.sum()
+            for v, (first, tie) in enumerate(zip(self.first, self.ties)):
+                table = first * PSEUDO
                 known = votes[:, v] > 0
-                np.add.at(table.T, votes[known, v] - 1, weight[known])
-                self.tables[v] = table / table.sum(axis=1, keepdims=True)
-            if before is not None and np.abs(weight - before).sum() < 1e-7 * counts.sum():
+                of = np.stack([weight[known][:, tie == k].sum(axis=1) for k in range(len(first))], axis=1)
+                np.add.at(table.T, votes[known, v] - 1, of)
+                self.tables[v] = self._rare(table, self.never[v])[tie]
+            if before is not None and np.abs(weight - before).sum() < 1e-6 * counts.sum():
                 break
             before = weight
         return self

@@ -7,17 +7,17 @@ counts of vote patterns leave the cluster; the label model fitted on them gives
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import discard, materialise, measured
 from .label_model import LabelModel
-from .name_variants import MAX_NICKNAMES, plain_date
+from .name_variants import MAX_NICKNAMES, learned_forms, plain_date
 
 #: Votes, by their number of levels; level 0 abstains, as an attribute is missing.
 LEVELS = {"first": 6, "last": 5, "born": 5, "place": 5, "common": 3}
@@ -25,18 +25,24 @@ LEVELS = {"first": 6, "last": 5, "born": 5, "place": 5, "common": 3}
 #: near, same; birth differs, in part, near, same; address differs, near, same but crowded, same; name common, rare.
 KINDS = {
     "match": [[0.01, 0.01, 0.06, 0.17, 0.75], [0.04, 0.01, 0.17, 0.78], [0.005, 0.03, 0.05, 0.915], [0.12, 0.07, 0.03, 0.78], [0.7, 0.3]],
-    "twins": [[0.85, 0.05, 0.05, 0.03, 0.02], [0.01, 0.01, 0.13, 0.85], [0.01, 0.01, 0.03, 0.95], [0.10, 0.07, 0.03, 0.80], [0.7, 0.3]],
-    "kin of one name": [[0.01, 0.01, 0.05, 0.13, 0.80], [0.01, 0.01, 0.13, 0.85], [0.93, 0.04, 0.02, 0.01], [0.04, 0.07, 0.03, 0.86], [0.7, 0.3]],
-    "family": [[0.85, 0.05, 0.05, 0.03, 0.02], [0.02, 0.02, 0.13, 0.83], [0.93, 0.04, 0.02, 0.01], [0.04, 0.07, 0.08, 0.81], [0.7, 0.3]],
-    "strangers of one name": [[0.01, 0.01, 0.01, 0.02, 0.95], [0.01, 0.01, 0.03, 0.95], [0.35, 0.49, 0.15, 0.01], [0.97, 0.015, 0.01, 0.005], [0.97, 0.03]],
-    "strangers of one day, last name": [[0.85, 0.04, 0.04, 0.03, 0.04], [0.02, 0.10, 0.05, 0.83], [0.01, 0.01, 0.03, 0.95], [0.97, 0.015, 0.01, 0.005], [0.8, 0.2]],
-    "strangers of one day, first name": [[0.02, 0.05, 0.03, 0.10, 0.80], [0.92, 0.04, 0.02, 0.02], [0.01, 0.01, 0.03, 0.95], [0.97, 0.015, 0.01, 0.005], [0.8, 0.2]],
-    "strangers of one address": [[0.60, 0.05, 0.05, 0.05, 0.25], [0.60, 0.05, 0.05, 0.30], [0.93, 0.04, 0.02, 0.01], [0.01, 0.01, 0.90, 0.08], [0.8, 0.2]],
+    "twins": [[0.87, 0.05, 0.05, 0.03, 0], [0.01, 0.01, 0.13, 0.85], [0.01, 0.01, 0.03, 0.95], [0.10, 0.07, 0.03, 0.80], [0.7, 0.3]],
+    "kin of one name": [[0.01, 0.01, 0.05, 0.13, 0.80], [0.01, 0.01, 0.13, 0.85], [0.93, 0.05, 0.02, 0], [0.04, 0.07, 0.03, 0.86], [0.7, 0.3]],
+    "family": [[0.87, 0.05, 0.05, 0.03, 0], [0.02, 0.02, 0.13, 0.83], [0.93, 0.05, 0.02, 0], [0.04, 0.07, 0.08, 0.81], [0.7, 0.3]],
+    "strangers of one name": [[0.01, 0.01, 0.01, 0.02, 0.95], [0.01, 0.01, 0.03, 0.95], [0.35, 0.49, 0.16, 0], [0.97, 0.015, 0.015, 0], [0.97, 0.03]],
+    "strangers of one day, last name": [[0.88, 0.05, 0.04, 0.03, 0], [0.02, 0.10, 0.05, 0.83], [0.01, 0.01, 0.03, 0.95], [0.97, 0.015, 0.015, 0], [0.8, 0.2]],
+    "strangers of one day, first name": [[0.02, 0.05, 0.03, 0.10, 0.80], [0.94, 0.04, 0.02, 0], [0.01, 0.01, 0.03, 0.95], [0.97, 0.015, 0.015, 0], [0.8, 0.2]],
+    "strangers of one address": [[0.85, 0.05, 0.05, 0.05, 0], [0.90, 0.05, 0.05, 0], [0.93, 0.05, 0.02, 0], [0.01, 0.01, 0.90, 0.08], [0.8, 0.2]],
 }
 SHARES = [0.6, 0.02, 0.02, 0.02, 0.1, 0.1, 0.1, 0.04]
+#: Kinds of pairs that have a vote's distribution in common, in the order of KINDS: whether it compares an attribute of one
+#: person, of different ones, or one by which a block selected the pair.
+TIES = {"first": [0, 1, 0, 1, 2, 1, 2, 1], "last": [0, 0, 0, 0, 1, 1, 2, 2], "born": [0, 0, 1, 1, 2, 0, 0, 1], "place": [0, 0, 0, 0, 1, 1, 1, 2], "common": [0, 0, 0, 0, 1, 2, 2, 2]}
 CROWDED = 20
-HOT_KEYS, HOT_LEAST = 1000, 10_000
+USUAL = 20_000
 MATCH = 0.5
+#: A key that one in this many of the sampled keys has is dealt out over cells of some CELL rows on either side.
+HOT_SHARE, CELL, SAMPLED = 2000, 3000, 50
+MOST_BROADCAST = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,109 +51,134 @@ class Source:
     id_col: str
 
 
-def _familiar(nicknames: DataFrame) -> dict[str, list[str]]:
-    """For every short form, the full forms it may stand for."""
-    rows = nicknames.where("short_name is not null and full_name is not null").select(F.lower("short_name"), F.lower("full_name")).limit(MAX_NICKNAMES + 1).collect()
-    if len(rows) > MAX_NICKNAMES:
-        raise ValueError(f"more than {MAX_NICKNAMES} nicknames")
-    known: dict[str, set[str]] = defaultdict(set)
-    for short, full in rows:
-        known[short].add(full)
-    return {s: sorted(f) for s, f in known.items()}
-
-
 def _letters(c: Column) -> Column:
     x = F.regexp_replace(F.lower(c), r"[^\p{L}]", "")
     return F.when(x != "", x)
 
 
-def _prepared(source: Source, full_of: Column) -> DataFrame:
+def _plain(source: Source) -> DataFrame:
     number = F.regexp_replace(F.regexp_replace("uprn", r"\.0*\s*$", ""), "[^0-9]", "")
-    first = _letters(F.col("first_name"))
-    rows = source.df.where(F.col(source.id_col).isNotNull()).select(F.col(source.id_col).alias("id"), first.alias("f"), _letters(F.col("last_name")).alias("s"), F.filter(F.split(F.lower("last_name"), r"[^\p{L}']+"), lambda x: F.length(x) > 2).alias("parts"), plain_date(F.col("date_of_birth")).alias("d"), F.when(number != "", number).alias("u"))
-    forms = F.coalesce(F.try_element_at(full_of, F.col("f")), F.array().cast("array<string>"))
-    rows = rows.withColumn("gs", F.when(F.col("f").isNotNull(), F.array_union(forms, F.array("f"))))
-    return rows.withColumn("g", F.get("gs", F.lit(0)))
+    parts = F.filter(F.split(F.lower("last_name"), r"[^\p{L}']+"), lambda x: F.length(x) > 2)
+    return source.df.where(F.col(source.id_col).isNotNull()).select(F.col(source.id_col).alias("id"), _letters(F.col("first_name")).alias("f"), _letters(F.col("last_name")).alias("s"), parts.alias("parts"), plain_date(F.col("date_of_birth")).alias("d"), F.when(number != "", number).alias("u"))
 
 
-def _block_keys() -> list[list[Column]]:
+def _forms(nicknames: DataFrame, rows: DataFrame) -> DataFrame:
+    """``f, forms``: for every short form, the full forms it may stand for: those given, and those learned from records that
+    share last name, birth and address."""
+    given = nicknames.where("short_name is not null and full_name is not null").select(_letters(F.col("short_name")).alias("short"), _letters(F.col("full_name")).alias("full"))
+    if given.limit(MAX_NICKNAMES + 1).count() > MAX_NICKNAMES:
+        raise ValueError(f"more than {MAX_NICKNAMES} nicknames")
+    learned = learned_forms(rows.select(F.col("f").alias("forename"), F.col("s").alias("surname"), F.col("d").alias("dob"), F.col("u").alias("postcode")))
+    return materialise(given.unionByName(learned).where("short is not null and full is not null").groupBy(F.col("short").alias("f")).agg(F.array_sort(F.collect_set("full")).alias("forms")))
+
+
+def prepared(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sources with plain attributes, a number ``n`` for each record, and whether its address is that of many and its
+    name a usual one: counted over both sources."""
+    l, r = _plain(left), _plain(right)
+    forms = F.broadcast(_forms(nicknames, l.unionByName(r)))  # at most as many as nicknames may be, twice
+
+    def named(rows: DataFrame) -> tuple[DataFrame, int]:
+        rows = rows.join(forms, "f", "left")
+        gs = F.when(F.col("f").isNotNull(), F.array_union(F.coalesce("forms", F.array().cast("array<string>")), F.array("f")))
+        rows = rows.withColumn("gs", gs).drop("forms").withColumns({"g": F.get("gs", F.lit(0)), "n": F.monotonically_increasing_id(), "hu": F.when(F.col("u").isNotNull(), F.xxhash64("u")), "hn": F.when(F.col("f").isNotNull() & F.col("s").isNotNull(), F.xxhash64("f", "s"))})
+        out, seen = measured(rows, n=F.count("*"))
+        return out, seen["n"]
+
+    (l, n_l), (r, n_r) = named(l), named(r)
+    both = l.select("hu", "hn").unionByName(r.select("hu", "hn"))
+    many = both.where("hu is not null").groupBy("hu").agg(F.count("*").alias("lives")).where(F.col("lives") > CROWDED)
+    many, seen = measured(many.select("hu", F.lit(True).alias("crowded")), n=F.count("*"))
+    often = both.where("hn is not null").groupBy("hn").agg(F.count("*").alias("k")).where(F.col("k") * USUAL > n_l + n_r)
+    often = F.broadcast(materialise(often.select("hn", F.lit(True).alias("usual"))))  # fewer than USUAL
+
+    def flagged(rows: DataFrame) -> DataFrame:
+        if seen["n"] <= MOST_BROADCAST:
+            rows = rows.join(F.broadcast(many), "hu", "left")
+        else:  # unknown addresses are spread: a number that is no address' joins nothing
+            rows = rows.withColumn("at", F.coalesce("hu", F.xxhash64("n"))).join(many.withColumnRenamed("hu", "at"), "at", "left").drop("at")
+            rows = rows.withColumn("crowded", F.col("crowded") & F.col("hu").isNotNull())
+        rows = rows.join(often, "hn", "left")
+        return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("crowded", "usual")})
+
+    return flagged(l), flagged(r)
+
+
+def _block_keys(side: str) -> list[list[Column]]:
     """Block keys; a key with a missing part blocks nothing.
 
-    Same sounding names meet by any two parts of their dates. The address number is cut in four, the first half counted
-    from its start and the second from its end: two changed digits, a swap or one digit more or less leave two cuts whole.
+    The first two are one kind: names that were exchanged meet too. Same sounding names meet by any two parts of their
+    dates. For same names the address number is cut in four, the first half counted from its start and the second from its
+    end: two changed digits, a swap or one digit more or less leave two cuts whole. A name that is not usual meets a record
+    of that name without a date.
     """
     f, g, s, d, u = (F.col(c) for c in "fgsdu")
     year, month, day = (d / 10000).cast("int"), (d / 100).cast("int") % 100, d % 100
-    initial = F.substring(g, 1, 1)
-    cuts = [F.substring(u, at, 3) for at in (1, 4, -6, -3)]
+    sound, last = F.soundex(g), F.soundex(s)
+    crowd, rare = F.when(F.col("crowded"), F.col("hu")), F.when(~F.col("usual"), f)
+    undated = F.when(d.isNull(), rare)
+    kind = F.lit
     return [
-        [d, F.soundex(s)],
-        [d, F.soundex(g)],
-        [d, u],
-        [u, F.soundex(s), initial],
-        [u, F.soundex(g), F.substring(s, 1, 1)],
-        [F.soundex(g), F.soundex(s), month, day],
-        [F.soundex(g), F.soundex(s), year, month],
-        [F.soundex(g), F.soundex(s), year, day],
-        [F.soundex(g), F.soundex(s), year, F.least(month, day), F.greatest(month, day)],
-        [F.least(f, s), F.greatest(f, s), d],
-        [g, s, u],
-        *([f, s, x, y] for x, y in combinations(cuts, 2)),
+        [kind(0), d, last],
+        [kind(0), d, sound],
+        [kind(1), crowd, d],
+        [kind(2), crowd, last, sound],
+        [kind(3), sound, last, month, day],
+        [kind(4), sound, last, year, month],
+        [kind(5), sound, last, year, day],
+        [kind(6), sound, last, year, F.least(month, day), F.greatest(month, day)],
+        [kind(7), undated if side == "l" else rare, s],
+        [kind(8), rare if side == "l" else undated, s],
+        *([kind(9 + k), f, s, x, y] for k, (x, y) in enumerate(combinations([F.substring(u, at, 3) for at in (1, 4, -6, -3)], 2))),
     ]
 
 
-def _scarce_keys(side: str) -> list[list[Column]]:
-    """Block keys whose blocks are small by count: an address of few, and a name that is not usual where a record without
-    a date of birth meets those with or without one."""
-    few = F.when(F.col("lives") <= CROWDED, F.col("u"))
-    rare = F.when(F.col("named") <= F.col("usual"), F.col("f"))
-    undated = F.when(F.col("d").isNull(), rare)
-    left, right = (undated, rare) if side == "l" else (rare, undated)
-    return [[few], [left, F.col("s")], [right, F.col("s")]]
-
-
-def _keyed(rows: DataFrame, name: str, side: str = "") -> DataFrame:
-    """Ids and block keys; of the ``side`` l or r, also the scarce ones, for which rows must be counted."""
-    kinds = _block_keys() + (_scarce_keys(side) if side else [])
-    keys = [F.when(sum((c.isNull().cast("int") for c in parts), F.lit(0)) == 0, F.xxhash64(F.lit(k), *parts)) for k, parts in enumerate(kinds)]
-    return rows.select(F.col("id").alias(name), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+def _keyed(rows: DataFrame, side: str) -> DataFrame:
+    keys = [F.when(reduce(lambda x, y: x & y, [c.isNotNull() for c in parts[1:]]), F.xxhash64(*parts)) for parts in _block_keys(side)]
+    return rows.select(F.col("n").alias(f"{side}_n"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
 def _hot_keys(keys: DataFrame) -> DataFrame | None:
-    """The block keys that hold at least 1/HOT_KEYS of all of ``keys``, so at most HOT_KEYS; None if there are none.
+    """``key, k``: keys that hold at least 1/HOT_SHARE of those of a hundredth of the records, and into how many cells to deal
+    them on either side; None if there are none. Being among them changes where a pair is made, not whether it is."""
+    some = keys.where(F.pmod(F.xxhash64("n"), F.lit(100)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    some, seen = measured(some, all=F.sum("n"))
+    floor = max(SAMPLED, (seen["all"] or 0) / HOT_SHARE)
+    hot, seen = measured(some.where(F.col("n") >= floor).select("key", F.ceil(F.col("n") * 100 / CELL).cast("int").alias("k")), n=F.count("*"))
+    discard(some)
+    return F.broadcast(hot) if seen["n"] else None  # fewer than HOT_SHARE
 
-    A sketch names the candidates (none of that frequency can escape it), which are then counted.
-    """
-    n = keys.count()
-    top = keys.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {20 * HOT_KEYS})").alias("top")).select(F.explode("top.item").alias("key"))
-    hot = [r.key for r in keys.join(F.broadcast(materialise(top)), "key", "left_semi").groupBy("key").count().where(F.col("count") >= max(HOT_LEAST, n / HOT_KEYS)).collect()]
-    return keys.sparkSession.createDataFrame([(k,) for k in hot], "key long") if hot else None
 
+def _dealt(keyed: DataFrame, hot: DataFrame | None, side: str) -> DataFrame:
+    """The keys with their cell: a left record has a row of cells, a right one a column, so any two meet in just one."""
+    if hot is None:
+        return keyed.withColumn("cell", F.lit(0))
+    own = F.pmod(F.xxhash64(f"{side}_n"), "k").cast("int")
+    other = F.sequence(F.lit(0), F.col("k") - 1)
+    cells = F.transform(other, lambda x: own * F.col("k") + x if side == "l" else x * F.col("k") + own)
+    return keyed.join(hot, "key", "left").select(f"{side}_n", "key", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"))
 
-def _cooled(keyed: DataFrame, hot: DataFrame, name: str) -> DataFrame:
-    """Hot keys replaced by every two hot keys of a record taken together: what only shares one of them is not compared."""
-    cold = keyed.join(F.broadcast(hot), "key", "left_anti").select(name, "key")
-    own = keyed.join(F.broadcast(hot), "key", "left_semi").groupBy(name).agg(F.array_sort(F.collect_set("key")).alias("ks"))  # as many as there are kinds of key
-    two = F.expr("flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> xxhash64(x, y))))")
-    return cold.unionByName(own.select(name, F.explode(two).alias("key")))
 
+def _at_one_address(l: DataFrame, r: DataFrame) -> DataFrame:
+    """Pairs at an address of few, but for those of whom neither the birth nor an initial agrees in any way: kin."""
+    initial = lambda c: F.substring(c, 1, 1)
 
-def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs with a block key in common, of records as :func:`_prepared` makes them."""
-    return _pairs(*_counted(left, right))
+    def side(rows: DataFrame, p: str) -> DataFrame:
+        return rows.where("hu is not null and not crowded").select("hu", *[c.alias(f"{p}_{k}") for k, c in {"n": F.col("n"), "d": F.col("d"), "g": initial("g"), "f": initial("f"), "s": initial("s")}.items()])
 
+    unknown = reduce(lambda x, y: x | y, [F.col(f"{p}_{c}").isNull() for p in "lr" for c in "dfs"])
+    named = (F.col("l_g") == F.col("r_g")) | (F.col("l_f") == F.col("r_f")) | (F.col("l_f") == F.col("r_s")) | (F.col("l_s") == F.col("r_f"))
+    ld, rd = F.col("l_d"), F.col("r_d")
+    born = (ld % 10000 == rd % 10000) | ((ld / 100).cast("int") == (rd / 100).cast("int")) | (((ld / 10000).cast("int") == (rd / 10000).cast("int")) & ((ld % 100 == rd % 100) | (ld % 100 == (rd / 100).cast("int") % 100)))
+    return side(l, "l").join(side(r, "r"), "hu").where(unknown | named | born).select("l_n", "r_n")
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """:func:`candidate_pairs` of records that are counted.
 
-    A key that holds a large share of all keys (an address or birth date that stands for "unknown") tells little and would
-    make pairs without end: of two records with such a key in common, another one, hot or not, is asked for as well.
-    """
-    l, r = _keyed(left, "l_id", "l"), _keyed(right, "r_id", "r")
-    hot = _hot_keys(l.select("key").unionByName(r.select("key")))
-    if hot is not None:
-        l, r = _cooled(l, hot, "l_id"), _cooled(r, hot, "r_id")
-    return l.join(r, "key").select("l_id", "r_id").distinct()
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct ``l_n, r_n`` with a block key in common, of records as :func:`prepared` makes them, however many have it."""
+    l, r = _keyed(left, "l"), _keyed(right, "r")
+    hot = _hot_keys(l.select("key", F.col("l_n").alias("n")).unionByName(r.select("key", F.col("r_n").alias("n"))))
+    met = _dealt(l, hot, "l").join(_dealt(r, hot, "r"), ["key", "cell"]).select("l_n", "r_n")
+    return met.unionByName(_at_one_address(left, right)).distinct()
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -195,27 +226,12 @@ def votes() -> dict[str, Column]:
         .when((ld % 10000 == rd % 10000) | ((ld / 100).cast("int") == (rd / 100).cast("int")) | ((ld / 10000).cast("int") == (rd / 10000).cast("int")) & (ld % 100 == rd % 100), 2)
         .otherwise(1)
     )
-    crowded = F.greatest("l_lives", "r_lives") > CROWDED
+    crowded = F.col("l_crowded") | F.col("r_crowded")
     place = F.when(lu.isNull() | ru.isNull(), 0).when(lu == ru, F.when(crowded, 3).otherwise(4)).when(_near(lu, ru) | _swapped(lu, ru), 2).otherwise(1)
-    common = F.when(ls.isNull() | rs.isNull() | lf.isNull() | rf.isNull(), 0).when((F.col("l_named") > F.col("usual")) | (F.col("r_named") > F.col("usual")), 1).otherwise(2)
+    common = F.when(ls.isNull() | rs.isNull() | lf.isNull() | rf.isNull(), 0).when(F.col("l_usual") | F.col("r_usual"), 1).otherwise(2)
     return {k: v.cast("int") for k, v in {"first": first, "last": last, "born": born, "place": place, "common": common}.items()}
 
 
-def _counted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both with how many records of both sources live at the address and have the same first and last name, and above how
-    many a name is usual."""
-    both = left.select("u", "f", "s").unionByName(right.select("u", "f", "s"))
-    usual = both.agg((F.count("*") / 20_000.0).alias("usual"))  # one row
-    lives = both.where("u is not null").groupBy("u").agg(F.count("*").alias("lives"))
-    named = both.where("f is not null and s is not null").groupBy("f", "s").agg(F.count("*").alias("named"))
-
-    def with_counts(rows: DataFrame) -> DataFrame:
-        out = rows.join(lives, "u", "left").join(named, ["f", "s"], "left").crossJoin(F.broadcast(usual))
-        return materialise(out.withColumns({"lives": F.coalesce("lives", F.lit(0)), "named": F.coalesce("named", F.lit(0))}))
-
-    return with_counts(left), with_counts(right)
-
-
 def link_sources(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFrame, LabelModel | None]:
     """``l_id, r_id, confidence`` of all candidate pairs, and the model that gave the confidence.
 
@@ -223,20 +239,17 @@ def link_sources(left: Source, right: Source, nicknames: DataFrame) -> tuple[Dat
     without any block key (two known attributes at least) meets none; equal rows under several ids are all paired; ids
     must be unique within a source, rows with a null id are left out; empty sources give no pairs and no model.
     """
-    spark = left.df.sparkSession
-    known = _familiar(nicknames)
-    full_of = F.create_map(*[x for short, full in sorted(known.items()) for x in (F.lit(short), F.array(*map(F.lit, full)))])
-    l, r = _counted(_prepared(left, full_of), _prepared(right, full_of))
-    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
-    full = _pairs(l, r).join(side(l, "l").withColumnRenamed("l_usual", "usual"), "l_id").join(side(r, "r"), "r_id")
-    voted = materialise(full.select("l_id", "r_id", *[v.alias(k) for k, v in votes().items()]))
+    l, r = prepared(left, right, nicknames)
+    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in ("n", "id", "f", "g", "gs", "s", "parts", "d", "u", "crowded", "usual")])
+    full = candidate_pairs(l, r).join(side(l, "l"), "l_n").join(side(r, "r"), "r_n")
+    voted = materialise(full.select(F.col("l_id"), F.col("r_id"), *[v.alias(k) for k, v in votes().items()]))
     names = list(LEVELS)
     counts = voted.groupBy(*names).count().collect()  # at most as many rows as the levels have combinations
     if not counts:
         return voted.select("l_id", "r_id", F.lit(0.0).alias("confidence")), None
     patterns = np.array([[row[k] for k in names] for row in counts], int)
     weights = np.array([row["count"] for row in counts], float)
-    model = LabelModel(KINDS, SHARES).fit(patterns, weights)
+    model = LabelModel(KINDS, SHARES, list(TIES.values())).fit(patterns, weights)
     sure = [(*map(int, p), float(q)) for p, q in zip(patterns, model.posterior(patterns))]
-    table = spark.createDataFrame(sure, ", ".join(f"{k} int" for k in names) + ", confidence double")
+    table = left.df.sparkSession.createDataFrame(sure, ", ".join(f"{k} int" for k in names) + ", confidence double")
     return voted.join(F.broadcast(table), names).select("l_id", "r_id", "confidence"), model
