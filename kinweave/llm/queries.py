@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from .format_duplicates import format_duplicates
+from .format_duplicates import duplicate_counts, format_duplicates
 from .group_pairs import group_pairs
 from .lookalikes import visually_identical, visually_identical_groups
 from .mixing import mix_sources, mixing_rates
@@ -25,8 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = format_duplicates(table(spark, sf_dir, "df"), "id", RECORD_FIELDS, ("forename", "middlename"))
-    return found.where("member_id = keep_id").select("keep_id", "n_copies")
+    return duplicate_counts(table(spark, sf_dir, "df"), "id", RECORD_FIELDS, ("forename", "middlename"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

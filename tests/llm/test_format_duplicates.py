@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinweave.llm.format_duplicates import CountingTrie, format_duplicates
+from kinweave.llm.format_duplicates import CountingTrie, duplicate_counts, format_duplicates, radix_plan
 
 FIELDS = ["dob", "postcode", "surname", "sex", "forename", "middlename"]
 SCHEMA = "id long, forename string, middlename string, surname string, dob string, sex string, postcode string, key string, `part` int"
@@ -71,7 +71,7 @@ def test_trie_counts_like_a_dictionary(keys):
     try:
         trie, want = CountingTrie(), {}
         for i, k in enumerate(keys):
-            trie.terminal(k).append(i)
+            trie.add(k, i)
             want.setdefault(k, []).append(i)
     finally:
         module.BURST = before
@@ -83,3 +83,27 @@ def test_fields_of_any_order(spark, exchangeable):
     df = spark.createDataFrame([(1, "a", "b"), (2, "b", "a")], "id long, forename string, middlename string")
     got = format_duplicates(df, "id", ["forename", "middlename"], exchangeable).collect()
     assert {r.n_copies for r in got} == ({2} if exchangeable else {1})
+
+
+def test_counts_without_members(spark):
+    draw = random.Random(7)
+    rows = [(i, draw.choice(["Ann", "ANN", "a.n n", None]), None, draw.choice(["Lee", "lee", f"x{i % 50}"]), "1990-01-01", "F", "A1") for i in range(2000)]
+    df = spark.createDataFrame([(*r, "clash", 0) for r in rows], SCHEMA).repartition(3)
+    want = {}
+    for k, _, n in brute(rows):
+        want[k] = n
+    assert {(r.keep_id, r.n_copies) for r in duplicate_counts(df, "id", FIELDS, ("forename", "middlename"), rows_per_bucket=100).collect()} == set(want.items())
+
+
+def test_small_neighbours_share_a_bucket(spark):
+    df = spark.createDataFrame([(i, bytearray(f"{i % 1000:03}{i}".encode())) for i in range(4000)], "id long, key binary")
+    bounds, heavy, rows = radix_plan(df, 300)
+    assert rows == 4000 and heavy is None and bounds == sorted(set(bounds)) and bounds[0] == b"" and len(bounds) <= 3 * 4000 // 300
+    keys = sorted(bytes(r.key) for r in df.collect())
+    import bisect
+
+    sizes = {}
+    for k in keys:
+        at = bisect.bisect_right(bounds, k)
+        sizes[at] = sizes.get(at, 0) + 1
+    assert max(sizes.values()) <= 600
