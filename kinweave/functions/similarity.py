@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import strings
 
+#: Longer texts are compared one by one.
+WIDEST = 64
+
 
 def edit_score(a: Column, b: Column) -> Column:
     """1 less the edit distance by the longer length; null if either is null, or both are empty."""
@@ -42,6 +46,72 @@ def _ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-jaro = _each_pair_once(strings.jaro)
-jaro_winkler = _each_pair_once(strings.jaro_winkler)
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """Code points in rows of one width, 0 behind the end."""
+    return np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le"), np.uint32).reshape(len(texts), width)
+
+
+def _jaro_many(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro of many pairs at once; the texts have at most WIDEST characters and no null character.
+
+    The shorter text's characters are gone through one position at a time, each taking the first free equal one in reach.
+    """
+    a, b = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)])
+    la, lb = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    wide_a, wide_b = max(1, la.max()), max(1, lb.max())
+    ca, cb, n = _codes(a, wide_a), _codes(b, wide_b), len(a)
+    reach = np.maximum(0, lb // 2 - 1)[:, None]
+    free = np.arange(wide_b)[None, :] < lb[:, None]
+    matched = np.zeros((n, wide_a), bool)
+    at, rows = np.arange(wide_b)[None, :], np.arange(n)
+    for i in range(wide_a):
+        hit = free & (cb == ca[:, i : i + 1]) & (np.abs(at - i) <= reach) & (la > i)[:, None]
+        first = hit.argmax(axis=1)
+        matched[:, i] = hit[rows, first]
+        free[rows, first] &= ~matched[:, i]
+    taken = (np.arange(wide_b)[None, :] < lb[:, None]) & ~free
+    m = matched.sum(axis=1)
+    left, right = np.zeros((n, wide_a), np.uint32), np.zeros((n, wide_a), np.uint32)
+    for out, codes, used in ((left, ca, matched), (right, cb, taken)):
+        r, c = np.nonzero(used)
+        out[r, np.cumsum(used, axis=1)[r, c] - 1] = codes[r, c]
+    moved = (left != right).sum(axis=1) // 2
+    some = np.maximum(m, 1)
+    score = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - moved) / some) / 3, 0.0)
+    return np.where([x == y for x, y in zip(a, b)], 1.0, score)
+
+
+def _jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    s = _jaro_many(a, b)
+    x, y = _codes([t[:4] for t in a], 4), _codes([t[:4] for t in b], 4)
+    same = np.cumprod((x == y) & (x > 0), axis=1).sum(axis=1)
+    return np.where(s > 0.7, s + same * 0.1 * (1 - s), s)
+
+
+def _many_pairs(many: Callable[[list[str], list[str]], np.ndarray], one: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        pairs: dict[tuple[str, str], list[int]] = {}
+        for i, pair in enumerate(zip(a, b)):
+            if pair[0] is not None and pair[1] is not None:
+                pairs.setdefault(pair, []).append(i)
+        short = sorted((p for p in pairs if max(map(len, p)) <= WIDEST and "\0" not in p[0] + p[1]), key=lambda p: max(map(len, p)))
+        score = {p: one(*p) for p in pairs.keys() - set(short)}
+        for k in range(0, len(short), 2000):
+            part = short[k : k + 2000]
+            score |= zip(part, many([p[0] for p in part], [p[1] for p in part]).tolist())
+        for p, at in pairs.items():
+            out[at] = score[p]
+        return pd.Series([None if x != x else x for x in out], dtype="float64")
+
+    def column(a: Column, b: Column) -> Column:
+        ship()
+        return F.pandas_udf(of, "double")(a, b)  # type: ignore[call-overload]
+
+    column.of = of
+    return column
+
+
+jaro = _many_pairs(_jaro_many, strings.jaro)
+jaro_winkler = _many_pairs(_jaro_winkler_many, strings.jaro_winkler)
 sequence_ratio = _each_pair_once(_ratio)

@@ -94,3 +94,20 @@ def test_bad_options(spark):
     for f in (lambda: text.white_space(F.col("x"), "two"), lambda: text.case(F.col("x"), "odd"), lambda: places.postcode_part(F.col("x"), "town")):
         with pytest.raises(ValueError):
             f()
+
+
+def test_many_jaro_pairs_are_as_one_by_one():
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from kinweave.functions import similarity, strings
+
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("abcdé ") for _ in range(draw.randint(0, 12)))
+    pairs = [(word(), word()) for _ in range(3000)] + [("", ""), ("a", ""), ("x" * 500, "x" * 499), ("a\0b", "ab"), ("same", "same")]
+    a, b = zip(*pairs)
+    for many, one in ((similarity.jaro, strings.jaro), (similarity.jaro_winkler, strings.jaro_winkler)):
+        got = many.of(pd.Series([*a, None, "x"]), pd.Series([*b, "x", None]))
+        assert np.allclose(got[: len(pairs)], [one(x, y) for x, y in pairs], rtol=0, atol=1e-12) and got[len(pairs) :].isna().all()
