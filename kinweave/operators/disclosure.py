@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, places
 from ..types import nan_to_null, q
 
+#: Accuracy of the sketch and half the width of a bracket of ranks; values that a driver may look through.
+SKETCH, BRACKET, FEW = 10_000, 0.001, 10_000
 #: Patterns of identifiers.
 IDENTIFIERS = {
     "NHS No": r"^\d{10}$",
@@ -26,21 +28,66 @@ IDENTIFIERS = {
 }
 
 
+def exact_percentiles(df: DataFrame, value: Column, shares: list[float]) -> list[float | None]:
+    """Percentiles of a double column, interpolated between ranks as F.percentile does; null without values.
+
+    A sketch of bounded size brackets the ranks, counts place the bracket, and only the distinct values within it are
+    counted. If there are more than a driver should hold, the bracket is narrowed by a sketch of its own rows, so nothing
+    grows with the rows but the scans.
+    """
+    v = df.select(value.alias("v")).where("v is not null and not isnan(v)")
+    n = v.count()
+    if not n:
+        return [None] * len(shares)
+    value_at: dict[int, float] = {}
+
+    def ranked(rank: int) -> float:
+        if rank in value_at:
+            return value_at[rank]
+        rows, below, size = v, 0, n
+        while True:
+            p = (rank - below) / max(1, size - 1)
+            lo, hi, least, most = rows.agg(F.percentile_approx("v", F.lit(max(0.0, p - BRACKET)), SKETCH), F.percentile_approx("v", F.lit(min(1.0, p + BRACKET)), SKETCH), F.min("v"), F.max("v")).first()
+            under, within, kinds = rows.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi)), F.approx_count_distinct(F.when(F.col("v").between(lo, hi), F.col("v")))).first()
+            if not below + under <= rank < below + under + within:  # the sketch was further off than it should be
+                lo, hi, under, within, kinds = least, most, 0, size, 0
+            narrowed = rows.where(F.col("v").between(lo, hi))
+            if kinds <= FEW or within == size:
+                for x, k in ((r.v, r["count"]) for r in narrowed.groupBy("v").count().orderBy("v").toLocalIterator()):
+                    value_at.update({r: x for r in (rank, rank + 1) if below + under <= r < below + under + k})
+                    under += k
+                    if below + under > rank:
+                        return value_at[rank]
+            rows, below, size = narrowed, below + under, within
+
+    out = []
+    for share in shares:
+        at = share * (n - 1)
+        low = int(at)
+        a = ranked(low)
+        out.append(a if at == low else a + (ranked(low + 1) - a) * (at - low))
+    return out
+
+
 def numerical_outliers(df: DataFrame, column: str) -> DataFrame:
-    """Rows more than 1.5 interquartile ranges outside the quartiles; ``Outlier`` names the bound. Quartiles interpolate."""
+    """Rows more than 1.5 interquartile ranges outside the quartiles; ``Outlier`` names the bound. Quartiles interpolate and
+    are worked out at once."""
     v = nan_to_null(df, column).cast("double")
-    bounds = df.agg(F.percentile(v, [0.25, 0.75]).alias("__q")).select((F.col("__q")[0] - 1.5 * (F.col("__q")[1] - F.col("__q")[0])).alias("__lo"), (F.col("__q")[1] + 1.5 * (F.col("__q")[1] - F.col("__q")[0])).alias("__hi"))
-    label = F.when(v < F.col("__lo"), F.concat(F.lit("lower_bound = "), F.col("__lo").cast("string"))).when(v > F.col("__hi"), F.concat(F.lit("upper_bound = "), F.col("__hi").cast("string")))
-    return df.crossJoin(F.broadcast(bounds)).withColumn("Outlier", label).where(F.col("Outlier").isNotNull()).drop("__lo", "__hi")  # bounds has one row
+    a, b = exact_percentiles(df, v, [0.25, 0.75])
+    lo, hi = (None, None) if a is None else (a - 1.5 * (b - a), b + 1.5 * (b - a))
+    bound = lambda x: F.lit(x).cast("double")
+    label = F.when(v < bound(lo), F.concat(F.lit("lower_bound = "), bound(lo).cast("string"))).when(v > bound(hi), F.concat(F.lit("upper_bound = "), bound(hi).cast("string")))
+    return df.withColumn("Outlier", label).where(F.col("Outlier").isNotNull())
 
 
 def numerical_percentiles(df: DataFrame, column: str, side: str, percentile: float | str) -> DataFrame:
-    """Rows strictly ``less`` or ``greater`` than a percentile (0 to 1), with its value in ``<p>_percentile_value``."""
+    """Rows strictly ``less`` or ``greater`` than a percentile (0 to 1), with its value in ``<p>_percentile_value``; the
+    percentile is worked out at once."""
     if side not in ("less", "greater"):
         raise ValueError("side is less or greater")
     v, name = nan_to_null(df, column).cast("double"), f"{percentile}_percentile_value"
-    bound = df.agg(F.percentile(v, float(percentile)).alias(name))
-    return df.crossJoin(F.broadcast(bound)).where(v < q(name) if side == "less" else v > q(name))  # bound has one row
+    made = df.withColumn(name, F.lit(exact_percentiles(df, v, [float(percentile)])[0]).cast("double"))
+    return made.where(v < q(name) if side == "less" else v > q(name))
 
 
 def date_year_quarter(df: DataFrame, column: str) -> DataFrame:

@@ -24,16 +24,17 @@ def candidate_pairs(df_l: DataFrame, df_r: DataFrame, id_l: str, id_r: str, key:
 
 
 def one_to_one(pairs: DataFrame, id_l: str, id_r: str, strict: bool = False) -> DataFrame:
-    """Pairs whose right id has one candidate and then, among those left, whose left id has one.
+    """Distinct pairs ``id_l, id_r`` whose right id has one candidate and then, among those left, whose left id has one.
 
-    ``strict`` counts both on all pairs instead. ``{(a,1),(a,2),(b,2)}`` keeps (a,1), strictly it keeps nothing.
+    ``strict`` counts both on all pairs instead. ``{(a,1),(a,2),(b,2)}`` keeps (a,1), strictly it keeps nothing. An id that
+    is alone needs no window: the least partner of a group of one is its partner, and groups are counted map-side.
     """
-    by = lambda c: F.count("*").over(Window.partitionBy(q(c)))
-    if strict:
-        both = pairs.withColumns({"__r": by(id_r), "__l": by(id_l)})
-        return both.where("__r = 1 and __l = 1").drop("__r", "__l")
-    right = pairs.withColumn("__r", by(id_r)).where("__r = 1").drop("__r")
-    return right.withColumn("__l", by(id_l)).where("__l = 1").drop("__l")
+
+    def alone(rows: DataFrame, of: str, other: str) -> DataFrame:
+        return rows.groupBy(q(of)).agg(F.min(q(other)).alias(other), F.count("*").alias("__n")).where("__n = 1").select(q(id_l), q(id_r))
+
+    right = alone(pairs, id_r, id_l)
+    return right.join(alone(pairs, id_l, id_r), [id_l, id_r], "left_semi") if strict else alone(right, id_l, id_r)
 
 
 def matchkey_join(df_l: DataFrame, df_r: DataFrame, id_l: str, id_r: str, key: MatchKey, number: int = 1, strict: bool = False) -> DataFrame:
@@ -68,17 +69,18 @@ def blocking(df_l: DataFrame, df_r: DataFrame, blocks: dict[str, str], ids: tupl
     """Pairs with an equal value in any of the block columns {left: right}, once, with all columns of both frames.
 
     A pair comes from the first block that it shares, so nothing has to be deduplicated. Column names of the two frames
-    must differ, and so must the rows' ids.
+    must differ; where an id repeats, each of its rows is paired. Rows with a null id are left out.
     """
     if clash := set(df_l.columns) & set(df_r.columns):
         raise ValueError(f"columns of both frames: {', '.join(sorted(clash))}")
+    df_l, df_r = df_l.where(q(ids[0]).isNotNull()), df_r.where(q(ids[1]).isNotNull())
     made, earlier = [], []
     for a, b in blocks.items():
         same = q(a) == q(b)
         joined = df_l.join(df_r, same, "inner")
         made.append(reduce(lambda d, e: d.where(~F.coalesce(e, F.lit(False))), earlier, joined))
         earlier.append(same)
-    return reduce(DataFrame.unionByName, made).dropDuplicates(list(ids))
+    return reduce(DataFrame.unionByName, made)
 
 
 def order_matchkeys(df_l: DataFrame, df_r: DataFrame, id_l: str, id_r: str, keys: list[MatchKey]) -> list[MatchKey]:

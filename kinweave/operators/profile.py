@@ -20,6 +20,21 @@ def _rows(df: DataFrame, metrics: dict[str, dict[str, Column]], types: dict[str,
     return one.select(F.inline(rows))
 
 
+def _distinct(df: DataFrame) -> DataFrame:
+    """``variable, distinct``: distinct values of each column. Values are combined map-side by (column, value) and then
+    counted; columns of a nested type, whose values have no text, are counted as they are."""
+    nested = [c for c in df.columns if isinstance(kind(df, c), (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    text = lambda c: F.hex(q(c)) if isinstance(kind(df, c), T.BinaryType) else (q(c) + 0.0 if is_floating(df, c) else q(c)).cast("string")
+    none = df.sparkSession.createDataFrame([(c, 0) for c in df.columns], "variable string, n long")
+    parts = [none]
+    if plain := [c for c in df.columns if c not in nested]:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), text(c).alias("value")) for c in plain]))
+        values = df.select(pairs.alias("x")).where("x.value is not null").groupBy("x.variable", "x.value").agg(F.lit(1))
+        parts.append(values.groupBy("variable").agg(F.count("*").alias("n")))
+    parts += [df.agg(F.lit(c).alias("variable"), F.count_distinct(q(c)).alias("n")) for c in nested]
+    return reduce(DataFrame.unionByName, parts).groupBy("variable").agg(F.sum("n").alias("distinct"))  # a row for each column
+
+
 def _share(part: str) -> Column:
     return F.try_divide(F.col(part) * 100.0, "__rows")
 
@@ -29,9 +44,9 @@ def describe_metrics(df: DataFrame) -> DataFrame:
 
     NaN counts as null, and also as one distinct value. An empty frame has null percentages.
     """
-    metrics = {c: {"__rows": F.count("*"), "distinct": F.count_distinct(q(c)), "null": F.count_if(missing(df, c))} for c in df.columns}
-    types = {"__rows": "bigint", "distinct": "bigint", "null": "bigint"}
-    made = _rows(df, metrics, types).withColumn("type", reduce(lambda e, c: e.when(F.col("variable") == c, kind(df, c).simpleString()), df.columns, F.when(F.lit(False), "")))
+    metrics = {c: {"__rows": F.count("*"), "null": F.count_if(missing(df, c))} for c in df.columns}
+    types = {"__rows": "bigint", "null": "bigint"}
+    made = _rows(df, metrics, types).join(F.broadcast(_distinct(df)), "variable").withColumn("type", reduce(lambda e, c: e.when(F.col("variable") == c, kind(df, c).simpleString()), df.columns, F.when(F.lit(False), "")))
     made = made.withColumn("not_null", F.col("__rows") - F.col("null"))
     return made.select("variable", "type", F.col("__rows").alias("count"), "distinct", _share("distinct").alias("percent_distinct"), "null", _share("null").alias("percent_null"), "not_null", _share("not_null").alias("percent_not_null"))
 
@@ -50,8 +65,8 @@ def df_describe(df: DataFrame, approx_distinct: bool = False, rsd: float = 0.05)
     max_l_after_point, min_l_after_point.
 
     Null means null, NaN is a value (the largest). ``min`` and ``max`` are text, null for text columns; ``empty`` is blank
-    text; lengths are of texts, digits of double and decimal columns. Distinct values of many columns cost a row for each
-    column and row before they are combined; ``approx_distinct`` needs a sketch for each column only.
+    text; lengths are of texts, digits of double and decimal columns. Distinct values are counted in a second scan, or with
+    ``approx_distinct`` by a sketch for each column in the first.
     """
     types = dict.fromkeys(("__rows", "distinct", "null", "empty", "min_l", "max_l", "max_l_before_point", "min_l_before_point", "max_l_after_point", "min_l_after_point"), "bigint") | {"min": "string", "max": "string"}
     nothing = F.max(F.lit(None).cast("bigint"))
@@ -62,7 +77,7 @@ def df_describe(df: DataFrame, approx_distinct: bool = False, rsd: float = 0.05)
         text = v if is_string(df, c) else v.cast("string") if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)) else None
         m = {
             "__rows": F.count("*"),
-            "distinct": F.approx_count_distinct(v, rsd) if approx_distinct else F.count_distinct(v),
+            "distinct": F.approx_count_distinct(v, rsd) if approx_distinct else nothing,
             "null": F.count_if(v.isNull()),
             "empty": F.count_if(v.rlike(r"^\s*$")) if is_string(df, c) else F.count_if(F.lit(False)),
             "min": F.min(v) if ordered else F.max(F.lit(None).cast("string")),
@@ -77,6 +92,8 @@ def df_describe(df: DataFrame, approx_distinct: bool = False, rsd: float = 0.05)
             m |= dict.fromkeys(("max_l_before_point", "min_l_before_point", "max_l_after_point", "min_l_after_point"), nothing)
         metrics[c] = m
     made = _rows(df, metrics, types)
+    if not approx_distinct:
+        made = made.drop("distinct").join(F.broadcast(_distinct(df)), "variable")
     kinds = reduce(lambda e, c: e.when(F.col("variable") == c, kind(df, c).simpleString()), df.columns, F.when(F.lit(False), ""))
     made = made.withColumns({"type": kinds, "not_null": F.col("__rows") - F.col("null")})
     return made.select(

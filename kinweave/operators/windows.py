@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import Names, as_list, missing, nan_to_null, q
@@ -10,43 +12,41 @@ from ..types import Names, as_list, missing, nan_to_null, q
 MODES = ("count", "countDistinct", "min", "max", "sum")
 
 
-def _aggregate(df: DataFrame, target: str, mode: str) -> Column:
+def _aggregate(df: DataFrame, target: str, mode: str, drop_na: bool = False) -> Column:
     value = nan_to_null(df, target)
+    if mode == "countDistinct":
+        n = F.count_distinct(value if drop_na else q(target))
+        return F.when(n > 0, n) if drop_na else n
     return {"count": F.count(q(target)), "min": F.min(value), "max": F.max(value), "sum": F.sum(value)}[mode]
 
 
+def _beside(df: DataFrame, keys: list[str], made: Column, name: str) -> DataFrame:
+    """``df`` with the aggregate of its group under ``name``. Groups are aggregated map-side and joined back, null keys too,
+    so no task holds the rows of a group; adaptive execution broadcasts small results and splits heavy keys."""
+    if not keys:
+        return df.crossJoin(F.broadcast(df.agg(made.alias(name))))  # one row
+    groups = df.groupBy(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(made.alias(name))
+    on = reduce(lambda x, y: x & y, [q(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return df.join(groups, on).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def window(df: DataFrame, keys: Names, target: str, mode: str, alias: str | None = None, drop_na: bool = False) -> DataFrame:
     """The aggregate of ``target`` over the rows with the same keys; null keys are a group like others.
 
     ``count`` adds its column last; the others put keys, aggregate, then the other columns. ``min``, ``max`` and ``sum``
     skip NaN as they skip null. ``countDistinct`` counts NaN as one value, unless ``drop_na``, which also makes the count
-    of a group without values null. Every mode is one shuffle by the keys, but countDistinct, where
-    a grouped result is joined.
+    of a group without values null.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     keys, name = as_list(keys), alias or mode
-    over = Window.partitionBy(*map(q, keys))
+    made = _beside(df, keys, _aggregate(df, target, mode, drop_na), "__new")
     if mode == "count":
-        return df.withColumn(name, F.count(q(target)).over(over))
-    if mode != "countDistinct":
-        made = df.withColumn("__new", _aggregate(df, target, mode).over(over))
-    else:
-        made = _distinct_joined(df, keys, target, drop_na)
+        return made.select(*[q(c) for c in df.columns if c != name], F.col("__new").alias(name))
     rest = [c for c in df.columns if c not in keys and c != name]
     return made.select(*map(q, keys), F.col("__new").alias(name), *map(q, rest))
 
 
-def _distinct_joined(df: DataFrame, keys: list[str], target: str, drop_na: bool) -> DataFrame:
-    """Distinct values have no window in Spark; a set for each row would not be bounded, so groups are joined back."""
-    value = nan_to_null(df, target) if drop_na else q(target)
-    counts = df.groupBy(*[q(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count_distinct(value).alias("__new"))
-    if drop_na:
-        counts = counts.withColumn("__new", F.when(F.col("__new") > 0, F.col("__new")))
-    on = [q(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return df.join(counts, on, "inner") if keys else df.crossJoin(F.broadcast(counts))  # without keys counts has one row
-
-
 def filter_window(df: DataFrame, keys: Names, target: str, mode: str, value: object = None, condition: bool = True) -> DataFrame:
     """Rows whose aggregate equals ``value`` (count, countDistinct), or whose target is the group's extremum (min, max).
 
@@ -59,7 +59,7 @@ def filter_window(df: DataFrame, keys: Names, target: str, mode: str, value: obj
     if mode not in ("min", "max"):
         raise ValueError("mode is count, countDistinct, min or max")
     keys = as_list(keys)
-    made = df.withColumn("__value", _aggregate(df, target, mode).over(Window.partitionBy(*map(q, keys))))
+    made = _beside(df, keys, _aggregate(df, target, mode), "__value")
     clean = F.when(~missing(df, target), q(target))
     hit = clean.eqNullSafe(F.col("__value"))
     rest = [c for c in df.columns if c not in keys and c != target]

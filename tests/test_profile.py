@@ -85,3 +85,19 @@ def test_identifying_strings(spark):
 def test_check_variables(spark):
     missing, extra = disclosure.check_variables(spark, spark.createDataFrame([(1, 2)], "Id int, b int"), ["ID", "c"])
     assert [r[0] for r in missing.collect()] == ["c"] and [r[0] for r in extra.collect()] == ["b"]
+
+
+def test_exact_percentiles_by_brackets(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    draw = random.Random(4)
+    for few in (10_000, 5):  # in one look, and by narrowing
+        monkeypatch.setattr(disclosure, "FEW", few)
+        values = [round(draw.gauss(0, 50), 2) for _ in range(3000)] + [7.5] * 900 + [None, float("nan")]
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        shares = [0.0, 0.25, 0.333, 0.5, 0.9, 1.0]
+        got = disclosure.exact_percentiles(df, df.x, shares)
+        assert np.allclose(got, np.quantile([v for v in values if v is not None and v == v], shares), rtol=1e-12)
+    assert disclosure.exact_percentiles(df.limit(0), df.x, [0.5]) == [None]
