@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phonetic, similarity, text
 from ..operators import clean, clusters, disclosure, link, profile, quality, shape, windows
 from ..operators.matchkey import MatchKey, any_of, eq, eq_fn, matchkey_dataframe, score, suffix_of
-from ..sources import files
+from ..runtime import shared_dir
 from ..runtime import table as at
+from ..sources import catalog, files
 from . import query
 
 # Columns and rows
@@ -187,7 +190,12 @@ def hyphens(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_hyphens(at(spark, d, "df").select("id", "surname"), "surname")
 
 
-@query()
+_DOUBLED = "regexp_replace(replace(forename, ' ', '  '), '(^| )(\\w)( |\\z)', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g')"
+_ENDS = f"regexp_replace(regexp_replace(regexp_replace({_DOUBLED}, '\x01 +\x01', chr(1) || chr(1), 'g'), '^ +(\x01|\\z)', '\\1'), '\x01 +\\z', chr(1))"
+_SINGLE = f"regexp_replace(regexp_replace({_ENDS}, '^\x01(\\w)\x01 +(\\w)', '\\1\\2'), '(\\w|\x01) +\x01(\\w)\x01\\z', '\\1\\2')"
+
+
+@query(f"SELECT id, replace(replace({_SINGLE}, chr(1), ''), '  ', ' ') AS forename FROM df")
 def single_chars(spark: SparkSession, d: str) -> DataFrame:
     return clean.group_single_characters(at(spark, d, "df").select("id", "forename"), "forename", include_terminals=True)
 
@@ -247,7 +255,17 @@ def alpha_name(spark: SparkSession, d: str) -> DataFrame:
     return at(spark, d, "df").select("id", text.sorted_letters(F.col("forename")).alias("letters"))
 
 
-@query()
+#: The letters' Soundex digits; vowels part equal digits, H and W do not.
+_SOUND = "translate(regexp_replace(upper({}), '[HW]', '', 'g'), 'ABCDEFGIJKLMNOPQRSTUVXYZ', '012301202245501262301202')"
+_RUNS = "{}"
+for _digit in "0123456":
+    _RUNS = f"regexp_replace({_RUNS}, '{_digit}+', '{_digit}', 'g')"
+
+
+@query(f"""
+    WITH x AS (SELECT id, surname, upper(surname[1:1]) AS first, regexp_replace({_SOUND.format('surname[2:]')}, '[^0-9]', '0', 'g') AS rest FROM df),
+    y AS (SELECT *, CASE WHEN first IN ('H', 'W') THEN '7' ELSE translate(first, 'ABCDEFGIJKLMNOPQRSTUVXYZ', '012301202245501262301202') END AS own FROM x)
+    SELECT id, CASE WHEN NOT regexp_matches(first, '[A-Z]') THEN surname ELSE first || rpad(replace({_RUNS.format('own || rest')}[2:], '0', '')[1:3], 3, '0') END AS code FROM y""")
 def soundex(spark: SparkSession, d: str) -> DataFrame:
     return at(spark, d, "df").select("id", phonetic.soundex(F.col("surname")).alias("code"))
 
@@ -507,6 +525,37 @@ def deduplicate_unique(spark: SparkSession, d: str) -> DataFrame:
     return link.deduplicate(at(spark, d, "df"), "id", [MatchKey(eq("dob"), eq("surname"))])[0]
 
 
+@query("SELECT a.id AS id_1, b.id AS id_2 FROM df a JOIN df b ON a.dob = b.dob AND a.surname = b.surname AND a.postcode = b.postcode AND a.id < b.id")
+def deduplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return link.deduplicate(at(spark, d, "df"), "id", [MatchKey(eq("dob"), eq("surname"), eq("postcode"))])[1]
+
+
+def _holds(check, *args) -> bool:
+    try:
+        check(*args)
+    except AssertionError:
+        return False
+    return True
+
+
+@query("SELECT count(DISTINCT id) = count(*) AS id, count(DISTINCT surname) = count(surname) AS surname FROM df")
+def unique_columns(spark: SparkSession, d: str) -> DataFrame:
+    df = at(spark, d, "df")
+    return spark.createDataFrame([(_holds(link.assert_unique, df, "id"), _holds(link.assert_unique, df, "surname"))], "id boolean, surname boolean")
+
+
+@query("SELECT count(DISTINCT (l_id, r_id)) = count(*) AS pairs, false AS each FROM matchkey_join")
+def unique_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = at(spark, d, "matchkey_join")
+    return spark.createDataFrame([(_holds(link.assert_unique, m, ["l_id", "r_id"]), _holds(link.assert_unique_matches, m, "l_id", "r_id"))], "pairs boolean, each boolean")
+
+
+@query("SELECT unnest(['c_nationkey', 'c_name']) AS left_column, unnest(['s_nationkey', 's_name']) AS right_column")
+def matchkey_columns(spark: SparkSession, d: str) -> DataFrame:
+    key = _keys()[0]
+    return spark.createDataFrame(list(zip(key.columns("left"), key.columns("right"))), "left_column string, right_column string")
+
+
 # Profiles
 
 
@@ -610,14 +659,18 @@ def postcode_sector(spark: SparkSession, d: str) -> DataFrame:
     return _postcode("sector", spark, d)
 
 
-@query("""
-    WITH x AS (SELECT DISTINCT l_id, uprn, date_of_birth FROM df_l),
-    y AS (SELECT *, CASE WHEN regexp_matches(l_id, '^[0-9]{12}$') THEN 'UPRN' WHEN regexp_matches(l_id, '^[A-Z]{3}\\d{8}$') THEN 'UK Child Benefit' END AS l_id_identifier,
-        CASE WHEN regexp_matches(uprn, '^[0-9]{12}$') THEN 'UPRN' WHEN regexp_matches(uprn, '^[A-Z]{3}\\d{8}$') THEN 'UK Child Benefit' END AS uprn_identifier,
-        CASE WHEN regexp_matches(date_of_birth, '^[0-9]{12}$') THEN 'UPRN' WHEN regexp_matches(date_of_birth, '^[A-Z]{3}\\d{8}$') THEN 'UK Child Benefit' END AS date_of_birth_identifier FROM x)
-    SELECT * FROM y WHERE coalesce(l_id_identifier, uprn_identifier, date_of_birth_identifier) IS NOT NULL""")
+def _first_fit(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{n}'" for n, p in disclosure.IDENTIFIERS.items()) + f" END AS {c}_identifier"
+
+
+@query(f"SELECT *, {', '.join(map(_first_fit, ('l_id', 'uprn', 'date_of_birth')))} FROM (SELECT DISTINCT l_id, uprn, date_of_birth FROM df_l) WHERE coalesce(l_id, uprn, date_of_birth) IS NOT NULL")
 def identifying_strings(spark: SparkSession, d: str) -> DataFrame:
-    return disclosure.identifying_strings(at(spark, d, "df_l").select("l_id", "uprn", "date_of_birth"), ["UPRN", "UK Child Benefit"])[0]
+    return disclosure.identifying_strings(at(spark, d, "df_l").select("l_id", "uprn", "date_of_birth"))[0]
+
+
+@query("SELECT 'Uprn' AS missing_variable")
+def lacking_variables(spark: SparkSession, d: str) -> DataFrame:
+    return disclosure.check_variables(spark, at(spark, d, "df"), ["ID", "Forename", "Uprn"])[0]
 
 
 @query("SELECT 'load_no' AS unapproved_variable UNION ALL SELECT 'received_ts'")
@@ -630,3 +683,58 @@ def read_parquet(spark: SparkSession, d: str) -> DataFrame:
     return files.read_format(spark, "parquet", d, "supplier.parquet")
 
 
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows, path = at(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), _scratch(spark)
+    files.write_format(rows, "csv", path, "orders", sep="|")
+    return files.read_format(spark, "csv", path, "orders", sep="|", schema=rows.schema)
+
+
+@query("SELECT l_id, first_name, last_name, date_of_birth, uprn FROM df_l")
+def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark)
+    files.write_format(at(spark, d, "df_l").select("l_id", "first_name", "last_name", "date_of_birth", "uprn"), "parquet", path, "df_l")
+    return files.read_format(spark, "parquet", path, "df_l")
+
+
+@query("SELECT * FROM (VALUES ('first'), ('second')) t(name)")
+def listed_files(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark)
+    for name in ("first", "second", "other"):
+        files.write_format(at(spark, d, "region"), "parquet", path, name)
+    return spark.createDataFrame([(n,) for n in files.list_files(spark, path, regex="st$|nd$", full_path=False)], "name string")
+
+
+@query("SELECT * FROM (VALUES ('a', true, 'int'), ('b', true, 'int'), ('c', false, NULL)) t(name, there, key_type)")
+def catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """A table is created, cloned, renamed and dropped; what the catalogue says of it."""
+    start = f"kinweave_{uuid.uuid4().hex[:8]}_"
+    catalog.create_hive_table(at(spark, d, "region").select("r_regionkey", "r_name"), "default", f"{start}a")
+    catalog.clone_hive_table(spark, "default", f"{start}a", start, "c")
+    catalog.rename_hive_table(spark, "default", f"{start}c", f"{start}b")
+    there = [t.removeprefix(start) for t in catalog.list_tables(spark, "default") if t.startswith(start)]
+    rows = [(t, t in there, dict(catalog.hive_dtypes(spark, "default", start + t)).get("r_regionkey") if t in there else None) for t in "abc"]
+    for t in there:
+        catalog.drop_hive_table(spark, "default", start + t)
+    return spark.createDataFrame(rows, "name string, there boolean, key_type string")
+
+
+@query("SELECT * FROM (VALUES ('r_name', 'string', ''), ('r_regionkey', 'int', 'int')) t(variable, a, b)")
+def variable_matrix(spark: SparkSession, d: str) -> DataFrame:
+    start = f"kinweave_{uuid.uuid4().hex[:8]}_"
+    r = at(spark, d, "region")
+    catalog.create_hive_table(r.select("r_regionkey", "r_name"), "default", f"{start}a")
+    catalog.create_hive_table(r.select("r_regionkey"), "default", f"{start}b")
+    rows = [tuple(x) for x in catalog.hive_variable_matrix(spark, "default", start).select("variable", f"{start}a", f"{start}b").collect()]  # a row for each variable
+    made = catalog.create_table_statements(spark, "default", start).count()
+    for t in "ab":
+        catalog.drop_hive_table(spark, "default", start + t)
+    if made != 2:
+        raise AssertionError("a statement for each table")
+    return spark.createDataFrame(rows, "variable string, a string, b string")

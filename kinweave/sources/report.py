@@ -11,6 +11,9 @@ from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+from pyspark.sql import SparkSession
+
+from .files import copy_local_file
 
 Style = Callable[..., str]
 Css = dict[tuple[int, int], str]
@@ -119,8 +122,11 @@ def _styles(looks: list) -> str:
     return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="{n}">{fonts}</fonts><fills count="{n + 1}">{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{n}">{xfs}</cellXfs></styleSheet>'
 
 
-def export_to_excel(frames: pd.DataFrame | list[pd.DataFrame] | dict[str, pd.DataFrame], path: str, styles: dict[Style, list[str] | str] | None = None, columns: list[str] | None = None, freeze_panes: tuple[int, int] | None = None) -> str:
-    """A workbook with a sheet for each frame: under its key, or Sheet1, Sheet2... Gives the path."""
+def export_to_excel(frames: pd.DataFrame | list[pd.DataFrame] | dict[str, pd.DataFrame], path: str, styles: dict[Style, list[str] | str] | None = None, columns: list[str] | None = None, freeze_panes: tuple[int, int] | None = None, spark: SparkSession | None = None, remote: str | None = None) -> str:
+    """A workbook with a sheet for each frame: under its key, or Sheet1, Sheet2... Gives the path.
+
+    With ``spark`` and ``remote`` the workbook is also copied to that path, over what is there, on whatever file system.
+    """
     named = frames if isinstance(frames, dict) else {f"Sheet{i}": f for i, f in enumerate(frames if isinstance(frames, list) else [frames], 1)}
     looks: list = []
     sheets = []
@@ -139,4 +145,6 @@ def export_to_excel(frames: pd.DataFrame | list[pd.DataFrame] | dict[str, pd.Dat
         z.writestr("xl/styles.xml", _styles(looks))
         for i, s in enumerate(sheets, 1):
             z.writestr(f"xl/worksheets/sheet{i}.xml", s)
+    if spark is not None and remote is not None:
+        copy_local_file(spark, path, remote)
     return path
