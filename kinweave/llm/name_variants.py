@@ -52,7 +52,9 @@ def plain_date(c: Column) -> Column:
     digits = F.regexp_replace(c, "[^0-9]", "")
     day_first = c.rlike(r"^\s*[0-9]{1,2}[^0-9]+[0-9]{1,2}[^0-9]+[0-9]{4}")
     ymd = F.when(day_first, F.concat(F.substring(digits, 5, 4), F.substring(digits, 3, 2), F.substring(digits, 1, 2))).otherwise(digits)
-    return F.when(F.length(digits) == 8, ymd.cast("int"))
+    usual = F.when(F.length(c) == 10, F.concat(F.substring(c, 1, 4), F.substring(c, 6, 2), F.substring(c, 9, 2)).try_cast("int"))
+    plain = F.when((F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-") & (usual > 9_999_999), usual)  # without regular expressions
+    return F.coalesce(plain, F.when(F.length(digits) == 8, ymd.cast("int")))
 
 
 def sex_code(c: Column) -> Column:
@@ -80,10 +82,9 @@ class Names:
         self.field_of: dict[str, np.ndarray] = {}
         self.letters_of: dict[str, int] = {}
         self.similar: dict[tuple[str, str], float] = {}
-        self.name_similar: dict[tuple[Spelling, Spelling, float, bool], float] = {}
 
     def trim(self, most: int = 300_000) -> None:
-        for known in (self.parts_of, self.signature_of, self.field_of, self.letters_of, self.similar, self.name_similar):
+        for known in (self.parts_of, self.signature_of, self.field_of, self.letters_of, self.similar):
             if len(known) > most:
                 known.clear()
 
@@ -138,10 +139,10 @@ class Names:
     def word_similarity(self, a: str, b: str) -> float:
         if a == b:
             return 1.0
-        key = (a, b) if a < b else (b, a)
-        got = self.similar.get(key)
+        got = self.similar.get((a, b))
         if got is None:
-            got = self.similar[key] = self._word_similarity(*sorted(key, key=lambda w: (len(w), w)))
+            got = self._word_similarity(a, b) if (len(a), a) < (len(b), b) else self._word_similarity(b, a)
+            self.similar[a, b] = self.similar[b, a] = got
         return got
 
     def _word_similarity(self, short: str, long: str) -> float:
@@ -180,26 +181,29 @@ class Names:
         if not a:
             return 0.0
         similar, n = self.word_similarity, len(a)
-        most = 2 * n if n == len(b) else n  # as if all words to come were equal to one of the other name
+        both = n == len(b)
+        most = 2 * n if both else n  # as if all words to come were equal to one of the other name
         lost, may_lose = 0.0, most * (1 - least) + 1e-9
-        for x, others in [(x, b) for x in a] + [(y, a) for y in b] * (n == len(b)):
-            if x not in others:
-                lost += 1 - max(similar(x, y) for y in others)
+        for x in a:
+            if x not in b:
+                lost += 1 - max([similar(x, y) for y in b])
                 if lost > may_lose:
                     return 0.0
+        if both and lost:
+            for y in b:
+                if y not in a:
+                    lost += 1 - max([similar(x, y) for x in a])
+                    if lost > may_lose:
+                        return 0.0
         return 1 - lost / most
 
     def name_similarity(self, a: Spelling, b: Spelling, strict: bool, least: float = 0.0) -> float:
         """Of the words or of the fields run together; unless ``strict``, also of the words of one with the fields of the other."""
-        key = (a, b, least, strict) if a <= b else (b, a, least, strict)
-        best = self.name_similar.get(key)
-        if best is None:
-            best = self.monge_elkan(a[0], b[0], least)
-            if best < 0.999 and (a[0] != a[1] or b[0] != b[1]):
-                best = max(best, self.monge_elkan(a[1], b[1], least))
-                if not strict:
-                    best = max(best, self.monge_elkan(a[0], b[1], least), self.monge_elkan(a[1], b[0], least))
-            self.name_similar[key] = best
+        best = self.monge_elkan(a[0], b[0], least)
+        if best < 0.999 and (a[0] != a[1] or b[0] != b[1]):
+            best = max(best, self.monge_elkan(a[1], b[1], least))
+            if not strict:
+                best = max(best, self.monge_elkan(a[0], b[1], least), self.monge_elkan(a[1], b[0], least))
         return best
 
 
@@ -393,14 +397,14 @@ class Linker:
         number: dict[str, int] = {}
         clean = np.array([number.setdefault(names.parts(v)[0], len(number)) for v in values], np.int64)[at]
         names_of = np.unique(np.minimum(clean[0], clean[1]) * len(number) + np.maximum(clean[0], clean[1]), return_inverse=True)[1] * len(number) + clean[2]
-        known: dict[tuple[int, int, int], Spelling] = {}
+        known: dict[int, Spelling] = {}
         f, m, s = at.tolist()
+        whole = ((at[0].astype(np.int64) * len(values) + at[1]) * len(values) + at[2]).tolist()
 
         def spelt(i: int) -> Spelling:
-            k = (f[i], m[i], s[i])
-            got = known.get(k)
+            got = known.get(whole[i])
             if got is None:
-                got = known[k] = names.words(tuple(values[x] for x in k))
+                got = known[whole[i]] = names.words((values[f[i]], values[m[i]], values[s[i]]))
             return got
 
         return [(x, values) for x in at], spelt, names_of
@@ -452,9 +456,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int = BAT
         yield pa.Table.from_batches(held)
 
 
+_linkers: dict[tuple, Linker] = {}
+
+
+def linker_of(nicknames: list[tuple[str, str]], bands: int, rows: int) -> Linker:
+    """This worker's linker: what it knows of spellings serves its next tasks too."""
+    key = (tuple(nicknames), bands, rows)
+    if key not in _linkers:
+        _linkers.clear()
+        _linkers[key] = Linker(Names(nicknames, bands, rows))
+    return _linkers[key]
+
+
 def _link(nicknames: list[tuple[str, str]], bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linker = Linker(Names(nicknames, bands, rows))
+        from kinweave.llm.name_variants import linker_of  # the worker's module, not this function's copy of it
+
+        linker = linker_of(nicknames, bands, rows)
         for t in whole_groups(batches, "dob"):
             made = linker.persons(t)
             if made is not None:
@@ -513,17 +531,16 @@ def name_variants(df: DataFrame, nicknames: DataFrame, id_col: str = "id", bands
     low = [F.lower(F.col(c)).alias(c) for c in ("forename", "middlename", "surname")]
     code = F.coalesce(F.regexp_replace(F.upper("postcode"), "[^A-Z0-9]", ""), F.lit("")).alias("postcode")
     rows_in = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), plain_date(F.col("dob")).alias("dob"), *low, sex_code(F.col("sex")).alias("sex"), code)
-    rows_in = rows_in.where("dob is not null")
+    rows_in, seen = measured(rows_in.where("dob is not null"), rows=F.count("*"))
+    parts = parallelism(spark, seen["rows"], ROWS_OF_A_TASK)
     if learn:
         given += [(r.short, r.full) for r in learned_forms(rows_in).collect()]  # at most 100,000
-    days = df.groupBy(F.col("dob").alias("written")).count().groupBy(plain_date(F.col("written")).alias("dob")).agg(F.sum("count").alias("n")).where("dob is not null")
-    days, seen = measured(days, rows=F.sum("n"), crowded=F.count_if(F.col("n") > rows_of_a_day))
+    days, seen = measured(rows_in.groupBy("dob").agg(F.count("*").alias("n")).where(F.col("n") > rows_of_a_day), crowded=F.count("*"))
     usual, crowded = rows_in, None
     if seen["crowded"]:
-        many = days.where(F.col("n") > rows_of_a_day).select("dob")
+        many = days.select("dob")
         many = F.broadcast(many) if seen["crowded"] <= MOST_BROADCAST else many
         usual, crowded = rows_in.join(many, "dob", "left_anti"), rows_in.join(many, "dob", "left_semi")
-    parts = parallelism(spark, seen["rows"] or 0, ROWS_OF_A_TASK)
     found = usual.repartition(parts, "dob").sortWithinPartitions("dob", "id").mapInArrow(_link(given, bands, rows), "person long, name long, id long")
     return found.unionByName(crowded_persons(crowded, given, bands, rows)) if crowded is not None else found
 
