@@ -75,17 +75,15 @@ def _forms(nicknames: DataFrame, rows: DataFrame) -> DataFrame:
 def prepared(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sources with plain attributes, a number ``n`` for each record, and whether its address is that of many and its
     name a usual one: counted over both sources."""
-    l, r = _plain(left), _plain(right)
-    forms = F.broadcast(_forms(nicknames, l.unionByName(r)))  # at most as many as nicknames may be, twice
 
-    def named(rows: DataFrame) -> tuple[DataFrame, int]:
-        rows = rows.join(forms, "f", "left")
-        gs = F.when(F.col("f").isNotNull(), F.array_union(F.coalesce("forms", F.array().cast("array<string>")), F.array("f")))
-        rows = rows.withColumn("gs", gs).drop("forms").withColumns({"g": F.get("gs", F.lit(0)), "n": F.monotonically_increasing_id(), "hu": F.when(F.col("u").isNotNull(), F.xxhash64("u")), "hn": F.when(F.col("f").isNotNull() & F.col("s").isNotNull(), F.xxhash64("f", "s"))})
-        out, seen = measured(rows, n=F.count("*"))
+    def numbered(source: Source) -> tuple[DataFrame, int]:
+        made = _plain(source).withColumns({"n": F.monotonically_increasing_id(), "hu": F.when(F.col("u").isNotNull(), F.xxhash64("u")), "hn": F.when(F.col("f").isNotNull() & F.col("s").isNotNull(), F.xxhash64("f", "s"))})
+        out, seen = measured(made, n=F.count("*"))
         return out, seen["n"]
 
-    (l, n_l), (r, n_r) = named(l), named(r)
+    (l, n_l), (r, n_r) = numbered(left), numbered(right)
+    forms = F.broadcast(_forms(nicknames, l.unionByName(r)))  # at most as many as nicknames may be, twice
+    gs = F.when(F.col("f").isNotNull(), F.array_union(F.coalesce("forms", F.array().cast("array<string>")), F.array("f")))
     both = l.select("hu", "hn").unionByName(r.select("hu", "hn"))
     many = both.where("hu is not null").groupBy("hu").agg(F.count("*").alias("lives")).where(F.col("lives") > CROWDED)
     many, seen = measured(many.select("hu", F.lit(True).alias("crowded")), n=F.count("*"))
@@ -93,6 +91,7 @@ def prepared(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFra
     often = F.broadcast(materialise(often.select("hn", F.lit(True).alias("usual"))))  # fewer than USUAL
 
     def flagged(rows: DataFrame) -> DataFrame:
+        rows = rows.join(forms, "f", "left").withColumn("gs", gs).withColumn("g", F.get("gs", F.lit(0))).drop("forms")
         if seen["n"] <= MOST_BROADCAST:
             rows = rows.join(F.broadcast(many), "hu", "left")
         else:  # unknown addresses are spread: a number that is no address' joins nothing
