@@ -1,18 +1,18 @@
 """Column profile of loads of a table: from file footers where they suffice, from dictionaries next, from a scan last.
 
-A chunk is a column of a row group. Its footer has the exact null count, the extrema and whether the row group belongs to
-one load. If the smallest value is no blank and the chunk is wholly dictionary-encoded, its dictionary is decoded: those
-are the distinct candidates, and with no blank and no misfit among them (and too many for shares to matter) everything
-about the chunk is known. Only the remaining columns of the remaining files are scanned, by Spark, pruned to them.
+A chunk is a column of a row group. Its footer has the exact null count and the extrema, whether the row group belongs to
+one load, and how large the dictionary is. All nulls, or nulls and one value, need nothing but the footer. A chunk that is
+wholly dictionary-encoded, by a dictionary that is small beside it, is decoded: the dictionary gives the distinct
+candidates, and its indices are counted. Columns of files in which some chunk is neither are scanned by Spark, pruned to
+them. Each chunk is read once, here or there; patterns are tried on distinct values, in the JVM.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,54 +21,81 @@ from ..runtime import materialise, ship
 
 FEW_VALUES = 12
 MAX_PATTERNS = 10_000
+MAX_TASKS = 100_000
+#: Extrema of this many characters or more may be cut off in a footer.
+EXACT_EXTREMA = 32
 BLANK = r"(?U)\A\s*\z"
-_CHUNK = "path string, field string, load string, n_rows long, n_null long, low string, high string, value string, enough boolean"
-
-
-def footer_chunks(fields: list[str], load_col: str, patterns: dict[str, str]):
-    """For a frame of file paths, what each chunk's footer and dictionary tell: a row for each chunk, and one for each
-    dictionary value of a chunk that needs no scan. A file that cannot be opened here has ``enough`` false throughout."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
+#: A dictionary of at most this many bytes, or a chunk by this many, is small.
+SMALL_DICTIONARY, SMALL_PART = 4096, 4
+_COUNTS = "load_no long, field_name string, value string, n long"
+
+
+def _counted(column) -> tuple[pa.Array, pa.Array]:
+    """The values of a chunk and how often each occurs."""
+    import pyarrow.compute as pc
+
+    values, counts = [], []
+    for part in column.chunks:
+        if pa.types.is_dictionary(part.type):
+            at = pc.value_counts(part.indices)  # a dictionary may hold more than the chunk does
+            values.append(part.dictionary.take(at.field("values")).cast(pa.string()))
+        else:
+            at = pc.value_counts(part)
+            values.append(at.field("values").cast(pa.string()))
+        counts.append(at.field("counts"))
+    return pa.concat_arrays(values), pa.concat_arrays(counts)
+
+
+def _from_footer(chunk, rows: int) -> list[tuple[str | None, int]] | None:
+    """The values of a chunk and how often each occurs, if its footer tells."""
+    s = chunk.statistics
+    if s is None or not s.has_null_count:
+        return None
+    if s.null_count == rows:
+        return [(None, rows)]
+    if s.has_min_max and s.min == s.max and isinstance(s.min, str) and len(s.min) < EXACT_EXTREMA:
+        return [(v, n) for v, n in ((None, s.null_count), (s.min, rows - s.null_count)) if n]
+    return None
+
+
+def _small_dictionary(chunk) -> bool:
+    if not chunk.has_dictionary_page or chunk.dictionary_page_offset is None:
+        return False
+    size = chunk.data_page_offset - chunk.dictionary_page_offset
+    return 0 < size <= SMALL_DICTIONARY or 0 < size * SMALL_PART <= chunk.total_compressed_size
+
+
+def file_counts(fields: list[str], load_col: str):
+    """For batches of file paths: value counts of those columns whose chunks footers and small dictionaries tell wholly, and
+    for each other column of a file a row without a load: ``null, field, path, null``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
-        whole = {f: re.compile(p) for f, p in patterns.items()}
-        for frame in frames:
-            for path in frame["path"]:
-                rows: list[tuple] = []
+        def out(load: list, field: list, value, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(load, pa.int64()), pa.array(field, pa.string()), value if isinstance(value, pa.Array) else pa.array(value, pa.string()), n.cast(pa.int64()) if isinstance(n, pa.Array) else pa.array(n, pa.int64())], ["load_no", "field_name", "value", "n"])
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
                 try:
                     fs, at = pafs.FileSystem.from_uri(path)
-                    with fs.open_input_file(at) as source:
-                        file = pq.ParquetFile(source, read_dictionary=fields)
-                        meta = file.metadata
-                        position = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-                        for g in range(meta.num_row_groups):
-                            group = meta.row_group(g)
-                            s = group.column(position[load_col]).statistics
-                            load = str(s.min) if s is not None and s.has_min_max and s.min == s.max and s.null_count == 0 else None
-                            for f in fields:
-                                c = group.column(position[f])
-                                s = c.statistics
-                                known = load is not None and s is not None and s.has_null_count
-                                low, high = (s.min, s.max) if s is not None and s.has_min_max else (None, None)
-                                values = None
-                                if known and s.null_count == group.num_rows:
-                                    values = []
-                                elif known and isinstance(low, str) and low.strip() and c.has_dictionary_page:
-                                    read = file.read_row_group(g, columns=[f]).column(0)
-                                    if len(read.chunks) == 1 and str(read.type).startswith("dictionary<values=string"):
-                                        used = read.chunk(0).indices.unique().drop_null()  # a dictionary may hold more than the chunk does
-                                        values = read.chunk(0).dictionary.take(used).to_pylist()
-                                enough = values == [] or bool(values) and len(values) > FEW_VALUES and all(v.strip() and (f not in whole or whole[f].fullmatch(v)) for v in values)
-                                rows.append((path, f, load, group.num_rows, s.null_count if known else None, low if isinstance(low, str) else None, high if isinstance(high, str) else None, None, enough))
-                                rows += [(path, f, load, None, None, None, None, v, True) for v in (values or []) if enough]
-                except Exception:  # an unknown scheme, a foreign layout: the scan reads the file instead
-                    rows = [(path, f, None, None, None, None, None, None, False) for f in fields]
-                out = pd.DataFrame(rows, columns=["path", "field", "load", "n_rows", "n_null", "low", "high", "value", "enough"])
-                yield out.astype({"n_rows": "Int64", "n_null": "Int64"})
+                    file = pq.ParquetFile(fs.open_input_file(at), read_dictionary=fields)
+                    meta = file.metadata
+                    position = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+                    groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+                    loads = [s.min if (s := g.column(position[load_col]).statistics) is not None and s.has_min_max and s.min == s.max and s.null_count == 0 else None for g in groups]
+                    chunks = {f: [g.column(position[f]) for g in groups] for f in fields}
+                except (OSError, pa.ArrowException, KeyError, ValueError):  # an unknown scheme or a foreign layout
+                    chunks = dict.fromkeys(fields)
+                for f, own in chunks.items():
+                    told = None if own is None or None in loads else [_from_footer(c, g.num_rows) for c, g in zip(own, groups)]
+                    if told is None or not all(t is not None or _small_dictionary(c) for t, c in zip(told, own)):
+                        yield out([None], [f], [path], [None])
+                        continue
+                    for g, (load, known) in enumerate(zip(loads, told)):
+                        value, n = ([v for v, _ in known], [k for _, k in known]) if known is not None else _counted(file.read_row_group(g, columns=[f]).column(0))
+                        yield out([load] * len(n), [f] * len(n), value, n)
 
     return run
 
@@ -100,41 +127,31 @@ def load_profile(df: DataFrame, load_col: str, patterns: DataFrame, year_fields:
     pattern = {r.field_name: r.expected_pattern for r in given if r.field_name in df.columns}
     fields = list(pattern)
     strings = all(isinstance(df.schema[f].dataType, T.StringType) for f in fields)
+    whole = isinstance(df.schema[load_col].dataType, T.IntegralType)
     plain = df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"  # else rows differ from files
-    files = df.inputFiles() if strings and plain else []
-    chunks = None
-    scans: dict[tuple[str, ...], list[str]] = {tuple(fields): []}
-    if files:
-        paths = spark.createDataFrame([(p,) for p in files], "path string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism))
-        chunks = paths.mapInPandas(footer_chunks(fields, load_col, {f: p for f, p in pattern.items() if p}), _CHUNK)
-        need: dict[str, set[str]] = defaultdict(set)
-        for r in chunks.where("value is null").groupBy("path", "field").agg(F.min("enough").alias("enough")).where("not enough").toLocalIterator():
-            need[r.path].add(r.field)
+    files = df.inputFiles() if strings and whole and plain else []
+    nothing = F.lit(0).cast("long")
+    parts, scans = [], {tuple(fields): None} if fields else {}
+    if files and fields:
+        paths = spark.createDataFrame([(p,) for p in files], "path string").repartition(min(len(files), MAX_TASKS))
+        read = materialise(paths.mapInArrow(file_counts(fields, load_col), _COUNTS))
         scans = {}
-        for path, columns in need.items():
-            scans.setdefault(tuple(f for f in fields if f in columns), []).append(path)
-    parts = []
+        for r in read.where("load_no is null").groupBy("value").agg(F.array_sort(F.collect_set("field_name")).alias("fields")).toLocalIterator():  # a row for each file
+            scans.setdefault(tuple(r.fields), []).append(r.value)
+        parts.append(read.where("load_no is not null"))
     for columns, paths in scans.items():
-        rows = spark.read.schema(df.schema).parquet(*paths) if 0 < len(paths) < len(files) else df
+        rows = spark.read.schema(df.schema).parquet(*paths) if paths and len(paths) < len(files) else df
         parts.append(_long(rows, load_col, list(columns)))
-    extra = None
-    if chunks is not None:
-        scanned = spark.createDataFrame([(p, f) for cs, ps in scans.items() for p in ps for f in cs] or [("", "")], "path string, field string")
-        known = chunks.join(F.broadcast(scanned) if len(files) < 100_000 else scanned, ["path", "field"], "left_anti")
-        extra = known.where("value is null").groupBy(F.col("load").cast("long").alias("load_no"), F.col("field").alias("field_name")).agg(F.sum("n_rows").alias("k_rows"), F.sum("n_null").alias("k_null"))
-        parts.append(known.where("value is not null").select(F.col("load").cast("long").alias("load_no"), F.col("field").alias("field_name"), "value", F.lit(0).cast("long").alias("n")))
-    if not parts:
-        parts = [df.select(F.lit(0).cast("long").alias("load_no"), F.lit("").alias("field_name"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n")).where("false")]
-    values = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        values = values.groupBy("load_no", "field_name", "value").agg(F.sum("n").alias("n"))
+    none = df.select(nothing.alias("load_no"), F.lit("").alias("field_name"), F.lit("").alias("value"), nothing.alias("n")).where("false")
+    values = reduce(DataFrame.unionByName, parts, none)
+    values = materialise(values.groupBy("load_no", "field_name", "value").agg(F.sum("n").alias("n")) if len(parts) > 1 else values)
     v, n = F.col("value"), F.col("n")
     blank = v.rlike(BLANK)
     fits = reduce(lambda acc, f: acc.when(F.col("field_name") == f, v.rlike(rf"\A(?:{pattern[f]})\z") if pattern[f] else F.lit(True)), fields, F.when(F.lit(False), F.lit(True)))
     seen = values.select("*", blank.alias("blank"), fits.alias("fits"), F.when(F.col("field_name").isin(list(year_fields)) & fits, _years(v)).alias("year"))
     found = seen.groupBy("load_no", "field_name").agg(
-        F.sum("n").alias("s_rows"),
-        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("s_null"),
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("n_null"),
         F.coalesce(F.sum(F.when(F.col("blank"), n)), F.lit(0)).alias("n_empty"),
         F.coalesce(F.sum(F.when(~F.col("blank") & ~F.col("fits"), n)), F.lit(0)).alias("n_misfit"),
         F.count("value").alias("n_distinct"),
@@ -144,18 +161,11 @@ def load_profile(df: DataFrame, load_col: str, patterns: DataFrame, year_fields:
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
     )
-    if extra is not None:
-        found = found.join(extra, ["load_no", "field_name"], "full")
-    else:
-        found = found.withColumns({"k_rows": F.lit(0), "k_null": F.lit(0)})
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    profile = found.select("load_no", "field_name", (zero("s_rows") + zero("k_rows")).alias("n_rows"), (zero("s_null") + zero("k_null")).alias("n_null"), zero("n_empty").alias("n_empty"), zero("n_misfit").alias("n_misfit"), zero("n_distinct").alias("n_distinct"), "max_l", "min_value", "max_value", "first_year", "last_year")
+    profile = found.select("load_no", "field_name", "n_rows", "n_null", "n_empty", "n_misfit", "n_distinct", "max_l", "min_value", "max_value", "first_year", "last_year")
     filled = F.col("n_rows") - F.col("n_null") - F.col("n_empty")
     profile = profile.withColumns({"percent_null": 100.0 * F.col("n_null") / F.col("n_rows"), "percent_empty": 100.0 * F.col("n_empty") / F.col("n_rows"), "percent_misfit": F.try_divide(100.0 * F.col("n_misfit"), filled)})
     profile = materialise(profile)
-    small = [r.field_name for r in profile.where(F.col("n_distinct") <= FEW_VALUES).select("field_name").distinct().collect()]
-    counts = _long(df, load_col, small).where("value is not null") if small else values.where("false")
-    few = counts.join(profile.where(F.col("n_distinct") <= FEW_VALUES).select("load_no", "field_name"), ["load_no", "field_name"], "left_semi")
+    few = values.where("value is not null").join(profile.where(F.col("n_distinct") <= FEW_VALUES).select("load_no", "field_name"), ["load_no", "field_name"], "left_semi")
     return profile, few.select("load_no", "field_name", "value", "n")
 
 

@@ -72,18 +72,38 @@ def test_profile_of_files_of_every_kind(spark, tmp_path):
     assert {x for x in few if x[1] == "sex"} == {(*k, n) for k, n in want.items()}
 
 
-def test_clean_chunks_are_not_scanned(spark, tmp_path):
-    from kinweave.operators.column_profile import footer_chunks
+def counted(module, path, fields):
+    total, scan = defaultdict(int), set()
+    for batch in module.file_counts(fields, "load_no")(iter([pa.RecordBatch.from_pydict({"path": [path]})])):
+        for r in batch.to_pylist():
+            if r["load_no"] is None:
+                assert r["value"] == path and r["n"] is None
+                scan.add(r["field_name"])
+            else:
+                total[r["load_no"], r["field_name"], r["value"]] += r["n"]
+    return dict(total), scan
+
+
+def test_what_footers_and_dictionaries_tell(spark, tmp_path, monkeypatch):
+    import kinweave.operators.column_profile as module
+
+    monkeypatch.setattr(module, "SMALL_DICTIONARY", 60)
+    write(tmp_path / "t", [[("Ann", None, "MFU"[i % 3] if i % 4 else None, f"x{i}", 1) for i in range(60)]])
+    path = spark.read.parquet(str(tmp_path / "t")).inputFiles()[0]
+    read = []
+    inner = module._counted
+    monkeypatch.setattr(module, "_counted", lambda column: read.append(column) or inner(column))
+    got, scan = counted(module, path, ["name", "born", "sex", "free"])
+    assert scan == {"free"} and read and all(c.null_count for c in read)
+    assert got == {(1, "name", "Ann"): 60, (1, "born", None): 60, (1, "sex", None): 15, (1, "sex", "M"): 15, (1, "sex", "F"): 15, (1, "sex", "U"): 15}
 
-    write(tmp_path / "t", [[(*r, 1) for r in some_rows(1, dirty=False)]])
-    import pandas as pd
 
-    path = spark.read.parquet(str(tmp_path / "t")).inputFiles()[0]
-    found = next(footer_chunks(["name", "born", "sex"], "load_no", {f: p for f, p in PATTERNS if p})(iter([pd.DataFrame({"path": [path]})])))
-    chunks = found[found["value"].isna()]
-    assert chunks.groupby("field")["enough"].all().to_dict() == {"name": True, "born": True, "sex": False}
-    lost = next(footer_chunks(["name"], "load_no", {})(iter([pd.DataFrame({"path": ["odd://x"]})])))
-    assert not lost["enough"].any()
+def test_mixed_loads_and_unknown_files_are_scanned(spark, tmp_path):
+    import kinweave.operators.column_profile as module
+
+    assert counted(module, "odd://x", ["name", "sex"]) == ({}, {"name", "sex"})
+    write(tmp_path / "t", [[("Ann", None, "M", "x", i % 2) for i in range(60)]])
+    assert counted(module, spark.read.parquet(str(tmp_path / "t")).inputFiles()[0], ["name"]) == ({}, {"name"})
 
 
 def test_profile_of_other_frames(spark, tmp_path):
@@ -139,5 +159,5 @@ def test_eager_join_edge_cases(spark):
 
 def test_heavy_keys(spark, rows):
     df = spark.createDataFrame([("a",)] * 50 + [(None,)] * 30 + [(f"k{i}",) for i in range(20)], "k string")
-    assert [(r.key, r.n_rows, int(r.n_pairs)) for r in heavy_keys(df, F.col("k"), df, F.col("k"), 0.25).collect()] == [("a", 50, 2500)]
-    assert heavy_keys(df.limit(0), F.col("k"), df, F.col("k"), 0.25).count() == 0
+    assert [(r.key, r.n_rows, int(r.n_pairs)) for r in heavy_keys(df, F.col("k"), df, F.col("k"), 4).collect()] == [("a", 50, 2500)]
+    assert heavy_keys(df.limit(0), F.col("k"), df, F.col("k"), 4).count() == 0
