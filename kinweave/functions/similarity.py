@@ -90,19 +90,22 @@ def _jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
 
 def _many_pairs(many: Callable[[list[str], list[str]], np.ndarray], one: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        (x, texts_a), (y, texts_b) = pd.factorize(a), pd.factorize(b)
+        known = (x >= 0) & (y >= 0)
+        pairs, at = np.unique(x[known].astype(np.int64) * max(1, len(texts_b)) + y[known], return_inverse=True)
+        left, right = texts_a[pairs // max(1, len(texts_b))], texts_b[pairs % max(1, len(texts_b))]
+        longest = np.array([max(len(p), len(q)) if "\0" not in p + q else WIDEST + 1 for p, q in zip(left, right)], np.int64)
+        score = np.zeros(len(pairs))
+        order = np.argsort(longest, kind="stable")  # texts of like lengths together, so that few cells are empty
+        few = int(np.searchsorted(longest[order], WIDEST, side="right"))
+        for k in range(0, few, 2000):
+            part = order[k : min(k + 2000, few)]
+            score[part] = many(left[part].tolist(), right[part].tolist())
+        for i in order[few:]:
+            score[i] = one(left[i], right[i])
         out = np.full(len(a), np.nan)
-        pairs: dict[tuple[str, str], list[int]] = {}
-        for i, pair in enumerate(zip(a, b)):
-            if pair[0] is not None and pair[1] is not None:
-                pairs.setdefault(pair, []).append(i)
-        short = sorted((p for p in pairs if max(map(len, p)) <= WIDEST and "\0" not in p[0] + p[1]), key=lambda p: max(map(len, p)))
-        score = {p: one(*p) for p in pairs.keys() - set(short)}
-        for k in range(0, len(short), 2000):
-            part = short[k : k + 2000]
-            score |= zip(part, many([p[0] for p in part], [p[1] for p in part]).tolist())
-        for p, at in pairs.items():
-            out[at] = score[p]
-        return pd.Series([None if x != x else x for x in out], dtype="float64")
+        out[known] = score[at]
+        return pd.Series([None if v != v else v for v in out.tolist()], dtype="float64")
 
     def column(a: Column, b: Column) -> Column:
         ship()

@@ -36,39 +36,47 @@ def exact_percentiles(df: DataFrame, value: Column, shares: list[float]) -> list
     grows with the rows but the scans.
     """
     v = df.select(value.alias("v")).where("v is not null and not isnan(v)")
-    n = v.count()
+    around = lambda p: [max(0.0, p - BRACKET), min(1.0, p + BRACKET)]
+    n, ends = v.agg(F.count("*"), F.percentile_approx("v", [x for s in shares for x in around(s)], SKETCH)).first()
     if not n:
         return [None] * len(shares)
-    value_at: dict[int, float] = {}
-
-    def ranked(rank: int) -> float:
-        if rank in value_at:
-            return value_at[rank]
-        rows, below, size = v, 0, n
-        while True:
-            p = (rank - below) / max(1, size - 1)
-            lo, hi, least, most = rows.agg(F.percentile_approx("v", F.lit(max(0.0, p - BRACKET)), SKETCH), F.percentile_approx("v", F.lit(min(1.0, p + BRACKET)), SKETCH), F.min("v"), F.max("v")).first()
-            under, within, kinds = rows.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi)), F.approx_count_distinct(F.when(F.col("v").between(lo, hi), F.col("v")))).first()
-            if not below + under <= rank < below + under + within:  # the sketch was further off than it should be
-                lo, hi, under, within, kinds = least, most, 0, size, 0
-            narrowed = rows.where(F.col("v").between(lo, hi))
-            if kinds <= FEW or within == size:
-                for x, k in ((r.v, r["count"]) for r in narrowed.groupBy("v").count().orderBy("v").toLocalIterator()):
-                    value_at.update({r: x for r in (rank, rank + 1) if below + under <= r < below + under + k})
-                    under += k
-                    if below + under > rank:
-                        return value_at[rank]
-            rows, below, size = narrowed, below + under, within
-
+    brackets = [(ends[2 * k], ends[2 * k + 1]) for k in range(len(shares))]
     out = []
-    for share in shares:
+    for share, counts in zip(shares, _within(v, brackets)):
         at = share * (n - 1)
         low = int(at)
-        a = ranked(low)
-        out.append(a if at == low else a + (ranked(low + 1) - a) * (at - low))
+        a, b = _ranked(v, n, low, min(low + 1, n - 1), *counts)
+        out.append(a if at == low else a + (b - a) * (at - low))
     return out
 
 
+def _within(rows: DataFrame, brackets: list[tuple[float, float]]) -> list[tuple[float, float, int, int, int]]:
+    """Of every bracket: its ends, how many rows lie below and in it, and about how many values."""
+    inside = [F.col("v").between(lo, hi) for lo, hi in brackets]
+    one = rows.agg(*[x for (lo, _), i in zip(brackets, inside) for x in (F.count_if(F.col("v") < lo), F.count_if(i), F.approx_count_distinct(F.when(i, F.col("v"))))]).first()
+    return [(*b, *one[3 * k : 3 * k + 3]) for k, b in enumerate(brackets)]
+
+
+def _ranked(rows: DataFrame, n: int, low: int, high: int, lo: float, hi: float, under: int, within: int, kinds: int) -> tuple[float, float]:
+    """The values at two neighbouring ranks of ``n`` rows, given a bracket and what it holds."""
+    below = 0
+    while True:
+        if not (below + under <= low and high < below + under + within):  # the ranks are at an edge of the bracket, or beyond
+            lo, hi = rows.agg(F.min("v"), F.max("v")).first()
+            under, within = 0, n
+        if kinds <= FEW or within == n:
+            found, seen = [], below + under
+            for r in rows.where(F.col("v").between(lo, hi)).groupBy("v").count().orderBy("v").toLocalIterator():
+                seen += r["count"]
+                found += [r.v] * ((low < seen and not found) + (high < seen))
+                if len(found) >= 2:
+                    return found[0], found[1]
+        rows, below, n = rows.where(F.col("v").between(lo, hi)), below + under, within
+        p = (low - below) / max(1, n - 1)
+        lo, hi = rows.agg(F.percentile_approx("v", [max(0.0, p - BRACKET), min(1.0, p + BRACKET)], SKETCH)).first()[0]
+        _, _, under, within, kinds = _within(rows, [(lo, hi)])[0]
+
+
 def numerical_outliers(df: DataFrame, column: str) -> DataFrame:
     """Rows more than 1.5 interquartile ranges outside the quartiles; ``Outlier`` names the bound. Quartiles interpolate and
     are worked out at once."""

@@ -159,6 +159,18 @@ def trim(spark: SparkSession, d: str) -> DataFrame:
     return clean.trim(at(spark, d, "df")).select("id", "forename", "surname")
 
 
+_STANDARD = "upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '\\s+', ' ', 'g'), '[^A-Za-z0-9 -]', '', 'g'), ' ?- ?', '-', 'g'), '^-+|-+$', '', 'g'))"
+_NAMES = ["forename", "middlename", "surname", "postcode"]
+
+
+@query("SELECT id, " + ", ".join(f"nullif({_STANDARD.format(c)}, '') AS {c}" for c in _NAMES) + " FROM df")
+def standardised(spark: SparkSession, d: str) -> DataFrame:
+    """Several verbs in turn, which Spark runs as one projection."""
+    df = clean.standardise_white_space(at(spark, d, "df").select("id", *_NAMES), _NAMES)
+    df = clean.clean_hyphens(clean.remove_punct(df, _NAMES, keep="-"), _NAMES)
+    return clean.standardise_null(clean.standardise_case(df, _NAMES, "upper"), "^$", _NAMES)
+
+
 @query("SELECT id, upper(forename) AS forename, lower(surname) AS surname FROM df")
 def case_upper_lower(spark: SparkSession, d: str) -> DataFrame:
     return clean.standardise_case(clean.standardise_case(at(spark, d, "df"), "forename", "upper"), "surname", "lower").select("id", "forename", "surname")
