@@ -19,9 +19,9 @@ PSEUDO, RARE = 20.0, 0.001
 class LabelModel:
     """``start``: for every kind, the match first, a distribution over the levels from 1 up of every vote. ``ties``: for
     every vote, a number for each kind; kinds with one number have one distribution, which starts from their mean. A level of
-    0 is one that a kind does not have by what it means, such as one birth of two people: it stays at RARE."""
+    0 is one that a kind does not have by what it means, such as one birth of two people: it stays at RARE. ``held``: votes and numbers whose distribution is not learned."""
 
-    def __init__(self, start: dict[str, list[list[float]]], shares: list[float], ties: list[list[int]] | None = None) -> None:
+    def __init__(self, start: dict[str, list[list[float]]], shares: list[float], ties: list[list[int]] | None = None, held: set[tuple[int, int]] = frozenset()) -> None:
         self.kinds = list(start)
         self.shares = np.array(shares, float) / sum(shares)
         votes = len(next(iter(start.values())))
@@ -29,6 +29,7 @@ class LabelModel:
         given = [np.array([start[k][v] for k in self.kinds], float) for v in range(votes)]
         self.first = [np.stack([g[t == k].mean(axis=0) for k in range(t.max() + 1)]) for g, t in zip(given, self.ties)]
         self.never = [g == 0 for g in self.first]
+        self.held = held
         self.first = [self._rare(g, never) for g, never in zip(self.first, self.never)]
         self.tables = [g[t] for g, t in zip(self.first, self.ties)]
 
@@ -63,7 +64,10 @@ class LabelModel:
                 known = votes[:, v] > 0
                 of = np.stack([weight[known][:, tie == k].sum(axis=1) for k in range(len(first))], axis=1)
                 np.add.at(table.T, votes[known, v] - 1, of)
-                self.tables[v] = self._rare(table, self.never[v])[tie]
+                made = self._rare(table, self.never[v])
+                for k in [k for at, k in self.held if at == v]:
+                    made[k] = first[k]
+                self.tables[v] = made[tie]
             if before is not None and np.abs(weight - before).sum() < 1e-6 * counts.sum():
                 break
             before = weight

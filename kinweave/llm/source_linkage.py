@@ -26,7 +26,7 @@ LEVELS = {"first": 6, "last": 5, "born": 5, "place": 5, "common": 3}
 KINDS = {
     "match": [[0.01, 0.01, 0.06, 0.17, 0.75], [0.04, 0.01, 0.17, 0.78], [0.005, 0.03, 0.05, 0.915], [0.12, 0.07, 0.03, 0.78], [0.7, 0.3]],
     "twins": [[0.87, 0.05, 0.05, 0.03, 0], [0.01, 0.01, 0.13, 0.85], [0.01, 0.01, 0.03, 0.95], [0.10, 0.07, 0.03, 0.80], [0.7, 0.3]],
-    "kin of one name": [[0.01, 0.01, 0.05, 0.13, 0.80], [0.01, 0.01, 0.13, 0.85], [0.93, 0.05, 0.02, 0], [0.04, 0.07, 0.03, 0.86], [0.7, 0.3]],
+    "kin of one name": [[0.01, 0.01, 0.05, 0.13, 0.80], [0.01, 0.01, 0.13, 0.85], [0.994, 0.004, 0.002, 0], [0.04, 0.07, 0.03, 0.86], [0.7, 0.3]],
     "family": [[0.87, 0.05, 0.05, 0.03, 0], [0.02, 0.02, 0.13, 0.83], [0.93, 0.05, 0.02, 0], [0.04, 0.07, 0.08, 0.81], [0.7, 0.3]],
     "strangers of one name": [[0.01, 0.01, 0.01, 0.02, 0.95], [0.01, 0.01, 0.03, 0.95], [0.35, 0.49, 0.16, 0], [0.97, 0.015, 0.015, 0], [0.97, 0.03]],
     "strangers of one day, last name": [[0.88, 0.05, 0.04, 0.03, 0], [0.02, 0.10, 0.05, 0.83], [0.01, 0.01, 0.03, 0.95], [0.97, 0.015, 0.015, 0], [0.8, 0.2]],
@@ -35,8 +35,10 @@ KINDS = {
 }
 SHARES = [0.6, 0.02, 0.02, 0.02, 0.1, 0.1, 0.1, 0.04]
 #: Kinds of pairs that have a vote's distribution in common, in the order of KINDS: whether it compares an attribute of one
-#: person, of different ones, or one by which a block selected the pair.
-TIES = {"first": [0, 1, 0, 1, 2, 1, 2, 1], "last": [0, 0, 0, 0, 1, 1, 2, 2], "born": [0, 0, 1, 1, 2, 0, 0, 1], "place": [0, 0, 0, 0, 1, 1, 1, 2], "common": [0, 0, 0, 0, 1, 2, 2, 2]}
+#: person, of different ones, or one by which a block selected the pair (kin whose first names differ are so by their births).
+TIES = {"first": [0, 1, 0, 1, 2, 1, 2, 1], "last": [0, 0, 0, 0, 1, 1, 2, 2], "born": [0, 0, 1, 3, 2, 0, 0, 3], "place": [0, 0, 0, 0, 1, 1, 1, 2], "common": [0, 0, 0, 0, 1, 2, 2, 2]}
+#: Distributions that are known: births of two people whom no birth selected agree in part by the calendar's chance only.
+HELD = {("born", 1)}
 CROWDED = 20
 USUAL = 20_000
 MATCH = 0.5
@@ -58,7 +60,8 @@ def _letters(c: Column) -> Column:
 
 def _plain(source: Source) -> DataFrame:
     number = F.regexp_replace(F.regexp_replace("uprn", r"\.0*\s*$", ""), "[^0-9]", "")
-    parts = F.filter(F.split(F.lower("last_name"), r"[^\p{L}']+"), lambda x: F.length(x) > 2)
+    parts = F.filter(F.split(F.regexp_replace(F.lower("last_name"), "['\u2019]", ""), r"[^\p{L}]+"), lambda x: F.length(x) > 2)
+    parts = F.when(F.col("last_name").rlike(r"\p{L}[^\p{L}'\u2019]+\p{L}"), parts)  # of one word there is no need to carry parts
     return source.df.where(F.col(source.id_col).isNotNull()).select(F.col(source.id_col).alias("id"), _letters(F.col("first_name")).alias("f"), _letters(F.col("last_name")).alias("s"), parts.alias("parts"), plain_date(F.col("date_of_birth")).alias("d"), F.when(number != "", number).alias("u"))
 
 
@@ -83,7 +86,6 @@ def prepared(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFra
 
     (l, n_l), (r, n_r) = numbered(left), numbered(right)
     forms = F.broadcast(_forms(nicknames, l.unionByName(r)))  # at most as many as nicknames may be, twice
-    gs = F.when(F.col("f").isNotNull(), F.array_union(F.coalesce("forms", F.array().cast("array<string>")), F.array("f")))
     both = l.select("hu", "hn").unionByName(r.select("hu", "hn"))
     many = both.where("hu is not null").groupBy("hu").agg(F.count("*").alias("lives")).where(F.col("lives") > CROWDED)
     many, seen = measured(many.select("hu", F.lit(True).alias("crowded")), n=F.count("*"))
@@ -91,7 +93,7 @@ def prepared(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFra
     often = F.broadcast(materialise(often.select("hn", F.lit(True).alias("usual"))))  # fewer than USUAL
 
     def flagged(rows: DataFrame) -> DataFrame:
-        rows = rows.join(forms, "f", "left").withColumn("gs", gs).withColumn("g", F.get("gs", F.lit(0))).drop("forms")
+        rows = rows.join(forms, "f", "left").withColumn("g", F.coalesce(F.get("forms", F.lit(0)), "f"))
         if seen["n"] <= MOST_BROADCAST:
             rows = rows.join(F.broadcast(many), "hu", "left")
         else:  # unknown addresses are spread: a number that is no address' joins nothing
@@ -108,8 +110,9 @@ def _block_keys(side: str) -> list[list[Column]]:
 
     The first two are one kind: names that were exchanged meet too. Same sounding names meet by any two parts of their
     dates. For same names the address number is cut in four, the first half counted from its start and the second from its
-    end: two changed digits, a swap or one digit more or less leave two cuts whole. A name that is not usual meets a record
-    of that name without a date.
+    end: two changed digits, a swap or one digit more or less leave two cuts whole. The first two alone are what numbers of
+    one district have in common, so a usual name must agree in eight digits there: only changes on both sides of the ninth
+    are lost. A name that is not usual also meets a record of that name without a date.
     """
     f, g, s, d, u = (F.col(c) for c in "fgsdu")
     year, month, day = (d / 10000).cast("int"), (d / 100).cast("int") % 100, d % 100
@@ -128,7 +131,8 @@ def _block_keys(side: str) -> list[list[Column]]:
         [kind(6), sound, last, year, F.least(month, day), F.greatest(month, day)],
         [kind(7), undated if side == "l" else rare, s],
         [kind(8), rare if side == "l" else undated, s],
-        *([kind(9 + k), f, s, x, y] for k, (x, y) in enumerate(combinations([F.substring(u, at, 3) for at in (1, 4, -6, -3)], 2))),
+        [kind(9), F.when(F.col("usual"), f), s, F.substring(u, 1, 8)],
+        *([kind(10 + k), f if k else rare, s, x, y] for k, (x, y) in enumerate(combinations([F.substring(u, at, 3) for at in (1, 4, -6, -3)], 2))),
     ]
 
 
@@ -193,9 +197,13 @@ def _swapped(a: Column, b: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The heuristic functions, over the columns f, g, s, parts, d, u of the left (l_) and the right (r_) record."""
+    """The heuristic functions, over the columns f, forms, s, parts, d, u of the left (l_) and the right (r_) record."""
     c = lambda x: (F.col(f"l_{x}"), F.col(f"r_{x}"))
-    (lf, rf), (lg, rg), (lgs, rgs), (ls, rs), (lp, rp), (ld, rd), (lu, ru) = (c(x) for x in ("f", "g", "gs", "s", "parts", "d", "u"))
+    (lf, rf), (lo, ro), (ls, rs), (lp, rp), (ld, rd), (lu, ru) = (c(x) for x in ("f", "forms", "s", "parts", "d", "u"))
+    lg, rg = F.coalesce(F.get(lo, F.lit(0)), lf), F.coalesce(F.get(ro, F.lit(0)), rf)
+    every = lambda forms, f: F.concat(F.coalesce(forms, F.array().cast("array<string>")), F.array(f))
+    familiar = (lo.isNotNull() | ro.isNotNull()) & F.arrays_overlap(every(lo, lf), every(ro, rf))
+    in_part = (lp.isNotNull() | rp.isNotNull()) & F.arrays_overlap(F.coalesce(lp, F.array(ls)), F.coalesce(rp, F.array(rs)))
     exchanged = (lf == rs) & (ls == rf)
     short = F.least(F.length(lf), F.length(rf)) == 1
     first = (
@@ -203,7 +211,7 @@ def votes() -> dict[str, Column]:
         .when((lf == rf) & ~short, 5)
         .when(exchanged, 5)
         .when(short, F.when((F.substring(lf, 1, 1) == F.substring(rf, 1, 1)) | (F.substring(lg, 1, 1) == F.substring(rg, 1, 1)), 3).otherwise(1))
-        .when(F.arrays_overlap(lgs, rgs) | _near(lf, rf) | _near(lg, rg) | _swapped(lf, rf), 4)
+        .when(familiar | _near(lf, rf) | _near(lg, rg) | _swapped(lf, rf), 4)
         .when(F.startswith(lf, F.substring(rf, 1, 3)) & (F.startswith(lf, rf) | F.startswith(rf, lf) | (F.soundex(lf) == F.soundex(rf))), 4)
         .when(F.soundex(lg) == F.soundex(rg), 2)
         .otherwise(1)
@@ -212,7 +220,7 @@ def votes() -> dict[str, Column]:
         F.when(ls.isNull() | rs.isNull(), 0)
         .when(ls == rs, 4)
         .when(exchanged, 4)
-        .when(_near(ls, rs) | _swapped(ls, rs) | F.arrays_overlap(lp, rp), 3)
+        .when(_near(ls, rs) | _swapped(ls, rs) | in_part, 3)
         .when(F.soundex(ls) == F.soundex(rs), 2)
         .otherwise(1)
     )
@@ -231,6 +239,11 @@ def votes() -> dict[str, Column]:
     return {k: v.cast("int") for k, v in {"first": first, "last": last, "born": born, "place": place, "common": common}.items()}
 
 
+def label_model() -> LabelModel:
+    """The model as it starts."""
+    return LabelModel(KINDS, SHARES, list(TIES.values()), {(list(LEVELS).index(v), g) for v, g in HELD})
+
+
 def link_sources(left: Source, right: Source, nicknames: DataFrame) -> tuple[DataFrame, LabelModel | None]:
     """``l_id, r_id, confidence`` of all candidate pairs, and the model that gave the confidence.
 
@@ -239,7 +252,7 @@ def link_sources(left: Source, right: Source, nicknames: DataFrame) -> tuple[Dat
     must be unique within a source, rows with a null id are left out; empty sources give no pairs and no model.
     """
     l, r = prepared(left, right, nicknames)
-    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in ("n", "id", "f", "g", "gs", "s", "parts", "d", "u", "crowded", "usual")])
+    side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in ("n", "id", "f", "forms", "s", "parts", "d", "u", "crowded", "usual")])
     full = candidate_pairs(l, r).join(side(l, "l"), "l_n").join(side(r, "r"), "r_n")
     voted = materialise(full.select(F.col("l_id"), F.col("r_id"), *[v.alias(k) for k, v in votes().items()]))
     names = list(LEVELS)
@@ -248,7 +261,7 @@ def link_sources(left: Source, right: Source, nicknames: DataFrame) -> tuple[Dat
         return voted.select("l_id", "r_id", F.lit(0.0).alias("confidence")), None
     patterns = np.array([[row[k] for k in names] for row in counts], int)
     weights = np.array([row["count"] for row in counts], float)
-    model = LabelModel(KINDS, SHARES, list(TIES.values())).fit(patterns, weights)
+    model = label_model().fit(patterns, weights)
     sure = [(*map(int, p), float(q)) for p, q in zip(patterns, model.posterior(patterns))]
     table = left.df.sparkSession.createDataFrame(sure, ", ".join(f"{k} int" for k in names) + ", confidence double")
     return voted.join(F.broadcast(table), names).select("l_id", "r_id", "confidence"), model
