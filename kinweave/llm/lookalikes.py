@@ -137,14 +137,14 @@ def _same(base: str, same: dict[str, set[str]]) -> set[str]:
 def representatives(classes: Classes, counts: dict[str, int]) -> dict[str, str]:
     """For every member but the representative itself, what it becomes.
 
-    The most frequent member is the representative; the shorter, then the smaller, of equally frequent ones. A class with
+    The most frequent composed member is the representative; the shorter, then the smaller, of equally frequent ones. A class with
     the empty string becomes the empty string, one with a plain space the space: those have no frequency to speak for them.
     """
     out = {}
     for members in classes.members().values():
         best = next((x for x in ("", " ", "-") if x in members), None)
         if best is None:
-            best = min(members, key=lambda x: (-counts.get(x, 0), len(x), x))
+            best = min((x for x in members if unicodedata.normalize("NFC", x) == x), key=lambda x: (-counts.get(x, 0), len(x), x), default=members[0])
         out |= {x: best for x in members if x != best}
     return out
 
@@ -209,10 +209,12 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if self.automaton is None or self.ascii_stays and text.isascii():
             return unicodedata.normalize("NFC", text)
-        new = self._once(unicodedata.normalize("NFC", text))
-        while new != text:
-            text, new = new, self._once(new)
-        return text
+        while True:
+            composed = unicodedata.normalize("NFC", text)
+            new = self._once(composed)
+            if new == composed:
+                return new
+            text = new
 
 
 def _rewrite(rules: dict[str, str], text: str, out: str):

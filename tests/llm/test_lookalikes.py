@@ -26,7 +26,7 @@ def test_different_to_the_eye(a, b):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("aоoе́e​ﬁfi ﬀ　２2é̈ёѕ-‑\n"), max_size=20))
+@given(st.text(st.sampled_from("aоoе́e​ﬁfi ﬀ　２2é̈ёѕ-‑\n" + "\u0344\u0390i\u03b9"), max_size=20))
 def test_a_form_is_its_own_form(text):
     once = FORM(text)
     assert FORM(once) == once
