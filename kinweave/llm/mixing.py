@@ -17,8 +17,8 @@ def mixing_rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | Non
     The total is ``total_tokens``, or all tokens of the sources that have documents and a target. A source whose target
     asks for more than ``max_repeats`` uses of each document gives that many and falls short by ``short_tokens``; the other
     sources keep their rates, so they stay in proportion to each other and no document is left out to make shares fit.
-    With ``exact_shares`` the total is lowered to the largest for which no source falls short, which the scarcest source
-    decides. Sources without tokens, or without a positive share and cap, give nothing: the other targets are scaled to sum
+    With ``exact_shares`` the total is the largest for which no source falls short, which the scarcest source decides, or
+    ``total_tokens`` if that is less. Sources without tokens, or without a positive share and cap, give nothing: the other targets are scaled to sum
     to 1. Rows that repeat a source count as one, with the sum of their shares and the smallest cap.
     """
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
@@ -28,9 +28,10 @@ def mixing_rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | Non
     share = F.when(usable, F.col("target_share"))
     most = F.min(F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("target_share")))
     of = t.agg(F.sum(share).alias("all_shares"), F.sum(F.when(usable, F.col("tokens"))).cast("double").alias("all_tokens"), most.alias("most"))  # one row
-    total = F.col("all_tokens") if total_tokens is None else F.lit(float(total_tokens))
+    largest = F.col("most") * F.col("all_shares")
+    total = (largest if exact_shares else F.col("all_tokens")) if total_tokens is None else F.lit(float(total_tokens))
     if exact_shares:
-        total = F.least(total, F.col("most") * F.col("all_shares"))
+        total = F.least(total, largest)
     wish = F.coalesce(total * share / F.col("all_shares"), F.lit(0.0))
     rate = F.when(usable, F.least(wish / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))
     made = t.crossJoin(F.broadcast(of)).select(*t.columns, rate.alias("rate"), wish.alias("wish"))
