@@ -1,7 +1,7 @@
 """Encoding of texts with a public byte-level BPE vocabulary, given as a rank file.
 
-The rank file has a fixed, small size (one line for each of its ids), so its bytes go to the tasks inside the function
-that they run; nothing has to be installed on the executors but the tiktoken library.
+The rank file has a fixed, small size (one line for each of its ids; MAX_RANK_FILE is checked), so its bytes are broadcast
+once; nothing has to be installed on the executors but the tiktoken library.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from ..runtime import ship
@@ -24,8 +25,10 @@ BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_RANK_FILE = 16_000_000
 LONG_TEXT = 20_000
+#: The white space of PATTERN, which is Unicode's; Python's also has four separators of files and records.
+SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: No piece of PATTERN holds white space after anything else, so a text may be cut before any run of white space.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 #: Nor does a piece go on from a letter to a digit or back.
 _SAFE_IN_WORD = re.compile(r"(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])")
 
@@ -48,11 +51,12 @@ class Tokenizer:
 
     @staticmethod
     def pieces(text: str, size: int = LONG_TEXT) -> list[str]:
-        """``text`` in pieces of about ``size`` characters that are cut only where no token can lie across the cut."""
+        """``text`` in pieces of about ``size`` characters that are cut only where no token can lie across the cut: before
+        white space or between an ASCII letter and an ASCII digit. A text that has neither is one piece."""
         cuts, at = [0], size
         while at < len(text):
-            m = _SAFE.search(text, at) if not (text[at].isspace() and not text[at - 1].isspace()) else None
-            near = m.start() if m else at if text[at].isspace() and not text[at - 1].isspace() else len(text)
+            m = _SAFE.search(text, at)
+            near = m.start() if m else len(text)
             if near - at > size and (w := _SAFE_IN_WORD.search(text, at, near)):
                 near = w.start()
             if near >= len(text):
@@ -78,9 +82,9 @@ def tokenizer(ranks: bytes) -> Tokenizer:
     return Tokenizer(ranks)
 
 
-def _runner(ranks: bytes, keep: list[str], text: str, out: str, count: bool):
+def _runner(ranks: Broadcast, keep: list[str], text: str, out: str, count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(ranks)
+        t = tokenizer(ranks.value)
         for b in batches:
             texts = b.column(text).to_pylist()
             ids = pa.array([len(t.encode(x)) for x in texts], pa.int64()) if count else pa.array([t.encode(x) for x in texts], pa.list_(pa.int32()))
@@ -93,7 +97,7 @@ def _mapped(df: DataFrame, keep: list[str], text: str, out: str, kind: str, rank
     ship(df.sparkSession)
     ranks = rank_file() if ranks is None else ranks
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` {kind}"])
-    return df.select(*keep, text).mapInArrow(_runner(ranks, keep, text, out, count), schema)
+    return df.select(*keep, text).mapInArrow(_runner(df.sparkSession.sparkContext.broadcast(ranks), keep, text, out, count), schema)
 
 
 def encode_texts(df: DataFrame, keep: list[str], text: str = "text", ranks: bytes | None = None) -> DataFrame:
