@@ -1,4 +1,6 @@
 import random
+import threading
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -167,3 +169,44 @@ def test_recall_by_kind_of_error(spark):
     assert sum(map(sum, found.values())) / len(kind) >= 0.97, recall
     assert min(v for k, v in recall.items()) >= 0.5, recall
     assert len([x for x in got if x[0][1:] != x[1].lstrip("R")]) <= 0.02 * len(got)
+
+
+def test_the_disk_holds_one_part_of_the_keys_at_a_time(spark, monkeypatch, tmp_path):
+    """Shuffle files and intermediate tables never take more than four times the input."""
+    import kinweave.llm.source_linkage as module
+    from kinweave.runtime import shared_dir
+
+    monkeypatch.setattr(module, "PART_KEYS", 1, raising=False)
+    h = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(of))
+    pick = lambda xs, salt: F.element_at(F.array(*map(F.lit, xs)), (h(len(xs), salt) + 1).cast("int"))
+    first = pick(["Robert", "Anna", "Edward", "Julia", "Frances", "Gregory", "Harriet", "Matthew"], 1)
+    last = F.concat(pick(["Aver", "Kest", "Marro", "Thorn", "Pello", "Trev", "Dunn", "Lod"], 2), pick(["dale", "wick", "beck", "ford", "sham", "ley"], 3))
+    born = F.date_add(F.lit("1930-01-01").cast("date"), h(28_000, 4).cast("int")).cast("string")
+    size = 0
+    for p in "lr":
+        rows = spark.range(40_000).select(F.concat(F.lit(p.upper()), F.lpad(h(10**9, f"{p}5").cast("string"), 9, "0")).alias(f"{p}_id"), first.alias("first_name"), last.alias("last_name"), born.alias("date_of_birth"), F.concat(F.lit("9900"), F.lpad(h(10**8, 6).cast("string"), 8, "0")).alias("uprn"))
+        rows.write.parquet(f"{tmp_path}/{p}")
+        size += sum(x.stat().st_size for x in Path(tmp_path, p).glob("*.parquet"))
+    dirs = [Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [Path(shared_dir(spark).removeprefix("file://"))]
+    used, over = [], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            try:
+                used.append(sum(x.stat().st_size for d in dirs for x in d.rglob("*") if x.is_file()))
+            except FileNotFoundError:  # deleted meanwhile
+                continue
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # else tables as small as these are not shuffled
+    try:
+        scored, _ = link_sources(*[Source(spark.read.parquet(f"{tmp_path}/{p}"), f"{p}_id") for p in "lr"], spark.createDataFrame([], "short_name string, full_name string"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        over.set()
+        thread.join()
+    rise = max(x - min(used[: i + 1]) for i, x in enumerate(used))  # what earlier tests left may go meanwhile
+    print("times the input", rise / size)
+    assert scored.where(f"confidence >= {MATCH}").count() >= 40_000
+    assert rise <= 4 * size
