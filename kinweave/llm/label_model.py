@@ -34,10 +34,17 @@ class LabelModel:
         self.tables = [g[t] for g, t in zip(self.first, self.ties)]
 
     @staticmethod
-    def _rare(table: np.ndarray, never: np.ndarray) -> np.ndarray:
+    def _rare(table: np.ndarray, never: np.ndarray, rare: np.ndarray | float = RARE) -> np.ndarray:
         table = np.where(never, 0.0, table)
-        table = table / table.sum(axis=1, keepdims=True) * (1 - RARE * never.sum(axis=1, keepdims=True))
-        return np.where(never, RARE, table)
+        table = table / table.sum(axis=1, keepdims=True) * (1 - rare * never.sum(axis=1, keepdims=True))
+        return np.where(never, rare, table)
+
+    def hold(self, other: LabelModel, groups: list[tuple[int, int]]) -> None:
+        """These distributions are the other model's and are not learned."""
+        for v, k in groups:
+            self.first[v][k] = other.tables[v][self.ties[v] == k][0]
+            self.tables[v] = self.first[v][self.ties[v]]
+        self.held = {*self.held, *groups}
 
     def responsibilities(self, votes: np.ndarray) -> np.ndarray:
         """Probability of every kind, for each pattern."""
@@ -64,7 +71,8 @@ class LabelModel:
                 known = votes[:, v] > 0
                 of = np.stack([weight[known][:, tie == k].sum(axis=1) for k in range(len(first))], axis=1)
                 np.add.at(table.T, votes[known, v] - 1, of)
-                made = self._rare(table, self.never[v])
+                groups = np.array([self.shares[tie == k].sum() for k in range(len(first))])
+                made = self._rare(table, self.never[v], RARE * np.minimum(1, self.shares[0] / groups)[:, None])
                 for k in [k for at, k in self.held if at == v]:
                     made[k] = first[k]
                 self.tables[v] = made[tie]
