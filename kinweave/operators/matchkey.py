@@ -25,24 +25,26 @@ class Comparison:
     text: str
     equi: bool
     prune: bool = True
+    own: Make | None = None  #: of an equality: what of a column must be equal on either side
+    score: tuple[Callable[[Column, Column], Column], float] | None = None  #: of a similarity, its function and what it must exceed
 
 
 def eq(left: str, right: str | None = None) -> Comparison:
     """Equality of a left and a right column."""
     r = right or left
-    return Comparison((left,), (r,), lambda a, b: a(left) == b(r), f"{left}={r}", True)
+    return Comparison((left,), (r,), lambda a, b: a(left) == b(r), f"{left}={r}", True, own=lambda c: c)
 
 
 def eq_fn(left: str, right: str | None, fn: Make, name: str) -> Comparison:
     """Equality of the same expression of either column, such as an initial or a sound."""
     r = right or left
-    return Comparison((left,), (r,), lambda a, b: fn(a(left)) == fn(b(r)), f"{name}({left})={name}({r})", True)
+    return Comparison((left,), (r,), lambda a, b: fn(a(left)) == fn(b(r)), f"{name}({left})={name}({r})", True, own=fn)
 
 
 def score(fn: Callable[[Column, Column], Column], left: str, right: str | None, above: float, name: str) -> Comparison:
     """A similarity score of the two columns above a threshold."""
     r = right or left
-    return Comparison((left,), (r,), lambda a, b: fn(a(left), b(r)) > above, f"{name}({left},{r})>{above}", False)
+    return Comparison((left,), (r,), lambda a, b: fn(a(left), b(r)) > above, f"{name}({left},{r})>{above}", False, score=(fn, above))
 
 
 def any_of(*parts: Comparison) -> Comparison:
@@ -68,6 +70,15 @@ class MatchKey:
     def condition(self, left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
         return reduce(lambda a, b: a & b, [c.make(left, right) for c in self.comparisons])
 
+    def equalities(self) -> list[Comparison]:
+        """Comparisons that say of one column on either side what must be equal."""
+        return [c for c in self.comparisons if c.own]
+
+    def rest(self, left: Callable[[str], Column], right: Callable[[str], Column]) -> Column | None:
+        """The condition without :meth:`equalities`; None if there is no other."""
+        others = [c.make(left, right) for c in self.comparisons if not c.own]
+        return reduce(lambda a, b: a & b, others) if others else None
+
     def prune(self, df: DataFrame, side: str) -> DataFrame:
         """Rows without a null (or NaN) in a column that must be compared."""
         names = list(dict.fromkeys(c for x in self.comparisons if x.prune for c in getattr(x, side)))

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.functions import similarity
 from kinweave.operators import clusters, link
-from kinweave.operators.matchkey import MatchKey, any_of, eq, eq_fn, matchkey_dataframe, prefix_of, score
+from kinweave.operators.matchkey import MatchKey, any_of, eq, eq_fn, matchkey_dataframe, prefix_of, score, suffix_of
 
 
 @pytest.fixture
@@ -118,3 +119,64 @@ def test_clusters_need_strings(spark):
     with pytest.raises(TypeError):
         clusters.cluster_number(spark.createDataFrame([(1, 2)], "a int, b int"), "a", "b")
     assert clusters.cluster_number(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
+
+
+def _counting(monkeypatch):
+    """Small cells and parts, as large tables have them, and the numbers of pairs that one join made."""
+    import kinweave.operators.link as module
+
+    monkeypatch.setattr(module, "CELL", 50, raising=False)
+    monkeypatch.setattr(module, "MANY", 500, raising=False)
+    return module
+
+
+def _people(spark, n, m):
+    name = lambda c, k: F.concat(F.lit("Na"), F.pmod(F.xxhash64(c, F.lit(k)), F.lit(40)).cast("string"), F.lit("mé"), F.pmod(F.xxhash64(c, F.lit(k + 1)), F.lit(30)).cast("string"))
+    l = spark.range(n).select(F.col("id").alias("a"), name("id", 1).alias("x"), F.when(F.col("id") < n - 5, F.col("id") % 3).alias("g"))
+    r = spark.range(m).select(F.col("id").alias("b"), name("id", 5).alias("y"), (F.col("id") % 3).alias("h"))
+    return l, r
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_one_to_one_of_many_pairs_in_cells_and_parts(spark, rows, monkeypatch, strict):
+    module = _counting(monkeypatch)
+    l, r = _people(spark, 90, 60)
+    key = MatchKey(eq("g", "h"), score(similarity.edit_score, "x", "y", 0.8, "edit"))
+    want = rows(link.one_to_one(link.candidate_pairs(l, r, "a", "b", key), "a", "b", strict))
+    made = []
+    inner = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, **o: made.append(df.columns) or inner(df, **o))
+    assert [x[:2] for x in rows(link.matchkey_join(l, r, "a", "b", key, 1, strict))] == want and want
+    assert any(c == ["__r", "lo", "hi"] for c in made)  # no pairs are kept, only the ends of each id's
+
+
+def test_equalities_alone_make_no_pairs(spark, rows):
+    l, r = spark.range(3000).selectExpr("id AS a", "0 AS g"), spark.range(3000).selectExpr("id AS b", "0 AS h")
+    plan = link.matchkey_join(l, r, "a", "b", MatchKey(eq("g", "h")))._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join Inner"):]
+    assert "min(" in join  # the left ids of a value are summed up below the join
+    assert link.matchkey_join(l, r, "a", "b", MatchKey(eq("g", "h"))).count() == 0
+
+
+def test_order_of_match_keys_in_cells(spark, monkeypatch):
+    _counting(monkeypatch)
+    l, r = _people(spark, 90, 60)
+    keys = [MatchKey(eq("g", "h")), MatchKey(eq("g", "h"), score(similarity.edit_score, "x", "y", 0.6, "edit")), MatchKey(eq("g", "h"), eq_fn("x", "y", suffix_of(1), "last"))]
+    n = [link.candidate_pairs(l, r, "a", "b", k).count() for k in keys]
+    want = [keys[i] for i in sorted(range(3), key=lambda i: (n[i], i))]
+    assert link.order_matchkeys(l, r, "a", "b", keys) == want
+    assert link.order_matchkeys(l.unionByName(l), r, "a", "b", keys) == want
+
+
+@pytest.mark.parametrize("name", ["edit_score", "jaro", "jaro_winkler", "sequence_ratio"])
+def test_scores_of_all_pairs_in_cells(spark, rows, monkeypatch, name):
+    _counting(monkeypatch)
+    fn = getattr(similarity, name)
+    l, r = _people(spark, 60, 40)
+    l = l.withColumn("x", F.when(F.col("a") == 1, None).when(F.col("a") == 2, "").when(F.col("a") == 3, F.repeat("x", F.lit(70))).otherwise(F.col("x")))
+    r = r.withColumn("y", F.when(F.col("b") == 4, None).when(F.col("b") == 5, "").otherwise(F.col("y")))
+    want = rows(l.join(r, F.col("g") == F.col("h")).select("a", "b", F.round(fn(F.col("x"), F.col("y")), 6).alias("score")))
+    got = link.pair_scores(l, r, "a", "b", ("g", "h"), ("x", "y"), fn, 6)
+    assert rows(got) == want
+    plan = got._jdf.queryExecution().toString()
+    assert "__ac" in plan and ("CoGroup" in plan) == (name != "sequence_ratio")  # values are dealt out; not by a row a pair
